@@ -15,11 +15,15 @@ QUESTION = ["the", "and", "license"]
 K1, B = 1.2, 0.75
 
 
+def _same(words: str, q: str):
+    return F.filter(words, lambda w: w == q)
+
+
 def bm25(docs: DataFrame, question: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score of the documents with a term of the question. Only the question's terms leave the scan."""
     words = docs.select(key, terms(F.col(text)).alias("ws")).withColumn("len", F.size("ws"))
     size = words.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    tf = words.select(key, "len", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.size(F.filter("ws", lambda w, q=q: w == q)).alias("tf")) for q in question])).alias("x")).select(key, "len", "x.q", "x.tf").where("tf > 0")
+    tf = words.select(key, "len", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.size(_same("ws", q)).alias("tf")) for q in question])).alias("x")).select(key, "len", "x.q", "x.tf").where("tf > 0")
     df = tf.groupBy("q").agg(F.count(F.lit(1)).alias("df"))  # a row for each term of the question
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
