@@ -5,9 +5,9 @@ Equal sets are one class, and only its least document goes on. In a fixed order
 The order puts shingles that many documents have last, so that passages in many documents make no large buckets;
 it is found from counts in each task and only decides how much work there is, never what is found.
 
-Links are found in two steps. First each document is compared with the least and with the greatest document it shares
-most early shingles with, which joins up groups of near copies with a few comparisons each. Then every bucket
-that still holds two components is searched whole by signature trees: nodes hold the OR of their documents' token
+Links are found in three steps. First each document is compared with the likely source of its group of copies, found by
+their least hashes, which joins most groups with a comparison or two each. Then every bucket that still holds two
+components is searched whole, first for the likeliest partner of each document, then for all pairs left, by signature trees: nodes hold the OR of their documents' token
 bitmaps, their range of sizes and the most tokens that fell on taken bits, and a dual traversal from the root goes down
 only into pairs of nodes whose greatest possible overlap is enough. Buckets of over BLOCK documents are cut
 into blocks, and every two blocks are a tree pair of their own, so no task holds an unbounded bucket. Every pair left is
@@ -37,10 +37,10 @@ NUM, DEN = 3, 4
 BLOCK, FAN = 1024, 8
 #: Shingles that a task counts at once, times one must have there, and how many are put in order by their counts.
 COUNTED, OFTEN, ORDERED = 1 << 22, 4, 1 << 20
-#: Early shingles by which a document finds whom to be compared with first.
-EARLY = 8
+#: Least hashes of a set by which a document finds whom to be compared with first.
+EARLY = 24
 #: Rows of ids or shingles (8 to 40 bytes each) up to which they are broadcast; beyond it rows are shuffled.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 1_500_000
 
 
 def sets(arr: pa.LargeStringArray) -> list[np.ndarray]:
@@ -66,8 +66,8 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def bits_of(n: int) -> int:
-    """Bits of the bitmap of a set of n: twice as many, as a power of 2."""
-    return 1 << max(6, (2 * n - 1).bit_length())
+    """Bits of the bitmap of a set of n: four to eight times as many, a power of 2."""
+    return 1 << max(6, (4 * n - 1).bit_length())
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -135,13 +135,13 @@ def _prefixes(docs: DataFrame, often: np.ndarray, level: np.ndarray) -> DataFram
                     if rank.any():
                         early = s[np.argsort(rank, kind="stable")]
                 n = len(s)
-                rows.append((i, n, np.array([s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)]).tobytes(), early[: n - -(-NUM * n // DEN) + 1].view(np.int64), bitmap(s).tobytes()))
+                rows.append((i, n, np.array([s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)]).tobytes(), early[: n - -(-NUM * n // DEN) + 1].view(np.int64), s[:EARLY].view(np.int64), bitmap(s).tobytes()))
             for a in range(0, len(rows), 2000):
                 c = list(zip(*rows[a : a + 2000], strict=True))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in c[3]])]), pa.int32()), pa.array(np.concatenate(c[3])))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), lists, pa.array(c[4], pa.binary())], names=["id", "n", "key", "first", "bits"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in v])]), pa.int32()), pa.array(np.concatenate(v))) for v in c[3:5]]
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), *lists, pa.array(c[5], pa.binary())], names=["id", "n", "key", "first", "least", "bits"])
 
-    return map_arrow(docs, run, "id bigint, n bigint, key binary, first array<bigint>, bits binary")
+    return map_arrow(docs, run, "id bigint, n bigint, key binary, first array<bigint>, least array<bigint>, bits binary")
 
 
 @contextlib.contextmanager
@@ -181,12 +181,20 @@ def _similar_sizes(a: str, b: str):
 
 
 def _first_pairs(first: DataFrame) -> DataFrame:
-    """Each document with the least and the greatest document that it shares most of its early shingles with."""
-    early = first.select("id", "n", F.explode(F.slice("first", 1, EARLY)).alias("h"))
-    ends = early.groupBy("h").agg(F.min(F.struct("id", "n")).alias("lo"), F.max(F.struct("id", "n")).alias("hi")).where("lo.id < hi.id")
-    met = early.join(ends, "h").select("id", "n", F.explode(F.array(F.struct(F.lit(0).alias("side"), "lo.id", "lo.n"), F.struct(F.lit(1).alias("side"), "hi.id", "hi.n"))).alias("to"))
-    votes = met.where((F.col("to.id") != F.col("id")) & _similar_sizes("n", "to.n")).groupBy("id", "to.side", F.col("to.id").alias("with")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("id", "side").agg(F.max(F.struct("votes", -F.col("with"))).alias("m")).select("id", (-F.col("m.col2")).alias("with"))
+    """Each document with a document that it shares many of its least hashes with: the one in most company, and the first one.
+
+    Whoever shares the most hashes with others is the likely source of a group of copies, and links most of it at once.
+    """
+    each = first.select("id", "n", F.explode("least").alias("h"))
+    many = each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = each.join(many, "h")
+    company = met.groupBy("id").agg(F.sum("c").alias("company"))
+    rated = met.join(company, "id").select("h", "id", "n", "company")
+    heads = rated.groupBy("h").agg(F.max(F.struct("company", (-F.col("id")).alias("m"), "n")).alias("top"), F.min(F.struct("id", "n")).alias("one"))
+    heads = heads.select("h", F.array(F.struct(F.lit(0).alias("side"), (-F.col("top.m")).alias("id"), F.col("top.n").alias("n")), F.struct(F.lit(1).alias("side"), "one.id", "one.n")).alias("heads"))
+    pairs = rated.join(heads, "h").select("id", "n", F.explode("heads").alias("to"))
+    votes = pairs.where((F.col("to.id") != F.col("id")) & _similar_sizes("n", "to.n")).groupBy("id", "to.side", F.col("to.id").alias("with")).agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("id", "side").agg(F.max(F.struct("votes", (-F.col("with")).alias("w"))).alias("m")).select("id", (-F.col("m.w")).alias("with"))
     return best.select(F.least("id", "with").alias("a"), F.greatest("id", "with").alias("b")).distinct()
 
 
@@ -241,10 +249,10 @@ def tree_pairs(left: Tree, right: Tree, same: bool) -> tuple[np.ndarray, np.ndar
     return i, j
 
 
-def bucket_pairs(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[bytes], side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a bucket, of different components, that may be similar enough; with sides only pairs across."""
+def bucket_pairs(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[bytes], side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a bucket, of different components, that may be similar enough, and how much; with sides only pairs across."""
     width = np.array([len(x) // 8 for x in bits])
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     kinds = np.unique(width).tolist()
     for x in kinds:
         for y in kinds:
@@ -265,22 +273,36 @@ def bucket_pairs(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[by
                 found += [_across(pair[0], pair[1], n, comp, ids)]
             else:
                 found += [_across(trees[0], trees[1], n, comp, ids, same=side is None and x == y)]
-    a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (list(zip(*found, strict=True)) or ([], [])))
-    return np.minimum(a, b), np.maximum(a, b)
+    a, b, most = (np.concatenate(v) for v in zip(*found, strict=True))
+    return np.minimum(a, b), np.maximum(a, b), most
 
 
-def _across(x, y, n, comp, ids, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def _across(x, y, n, comp, ids, same: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     (p, a), (q, b) = x, y
     if not len(p) or not len(q):
-        return ids[:0], ids[:0]
+        return ids[:0], ids[:0], np.zeros(0)
     left = Tree(n[p], a)
-    i, j = tree_pairs(left, left if same else Tree(n[q], b), same)
-    i, j = p[i], q[j]
-    good = (comp[i] != comp[j]) & (ids[i] != ids[j])
-    return ids[i[good]], ids[j[good]]
-
-
-def _search(rows: DataFrame) -> DataFrame:
+    right = left if same else Tree(n[q], b)
+    i, j = tree_pairs(left, right, same)
+    good = (comp[p[i]] != comp[q[j]]) & (ids[p[i]] != ids[q[j]])
+    i, j = i[good], j[good]
+    most = np.zeros(len(i))
+    for s in range(0, len(i), 1 << 14):
+        k = slice(s, s + (1 << 14))
+        most[k] = (ones(a[i[k]] & b[j[k]]) + np.minimum(left.levels[0][3][i[k]], right.levels[0][3][j[k]])) / (n[p[i[k]]] + n[q[j[k]]])
+    return ids[p[i]], ids[q[j]], most
+
+
+def nearest_only(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Places of the pairs that are the likeliest of either document."""
+    keep = np.zeros(len(x), bool)
+    for one, other in ((x, y), (y, x)):
+        order = np.lexsort((other, -most, one))
+        keep[order[np.concatenate([[True], one[order][1:] != one[order][:-1]])]] = True
+    return np.flatnonzero(keep)
+
+
+def _search(rows: DataFrame, nearest: bool) -> DataFrame:
     """Candidate pairs of the buckets: rows h, i, j, side, id, n, comp, bits, together and in order by (h, i, j)."""
 
     def run(batches):
@@ -315,7 +337,10 @@ def _search(rows: DataFrame) -> DataFrame:
             if b - a > 1:
                 two = i[a] != j[a]
                 seen.append(bucket_pairs(ids[a:b], n[a:b], comp[a:b], bits[a:b], side[a:b] if two else None))
-        x, y = (np.concatenate(v) for v in zip(*seen, strict=True)) if seen else (ids[:0], ids[:0])
+        x, y, most = (np.concatenate(v) for v in zip(*seen, strict=True)) if seen else (ids[:0], ids[:0], ids[:0])
+        if nearest and len(x):
+            at = nearest_only(x, y, most)
+            x, y = x[at], y[at]
         if len(x):
             pair = np.unique(np.stack([x, y]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pair[0], pa.int64()), pa.array(pair[1], pa.int64())], names=["a", "b"])
@@ -324,17 +349,22 @@ def _search(rows: DataFrame) -> DataFrame:
     return map_arrow(ordered, run, "a bigint, b bigint").distinct()
 
 
-def _bucket_pairs(first: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Candidate pairs of documents that share an early shingle and are in different components."""
+def _bucket_pairs(first: DataFrame, comps: DataFrame, scratch: Scratch, nearest: bool) -> DataFrame:
+    """Candidate pairs of documents that share an early shingle and are in different components; all, or the likeliest of each document."""
     known = scratch.keep(first.select("id", "n", "first", "bits").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
     each = known.select("id", "comp", F.explode("first").alias("h"))
-    mixed = scratch.keep(each.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 <> c1").select("h", "m"))
-    rows = each.join(_maybe_broadcast(mixed), "h").select("h", "m", "id").join(known.select("id", "n", "comp", "bits"), "id")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    # Buckets that begin with the same document mostly hold the same ones; they are searched as one.
+    mixed = scratch.keep(each.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("id").alias("g")).where("c0 <> c1").select("h", "g"))
+    rows = scratch.keep(each.join(_maybe_broadcast(mixed), "h").select("g", "id").distinct())
+    size = rows.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
+    dealt = rows.join(size, "g").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.when(F.col("blocks") > 1, own).otherwise(0)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "comp", "bits")
-    return _search(dealt)
+    dealt = dealt.withColumn("own", F.when(F.col("blocks") > 1, own).otherwise(0)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.col("g").alias("h"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id")
+    dealt = dealt.join(known.select("id", "n", "comp", "bits"), "id").select("h", "i", "j", "side", "id", "n", "comp", "bits")
+    out = scratch.keep(_search(dealt, nearest))
+    scratch.free(known, mixed, rows)
+    return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -352,8 +382,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     links = _verified(scratch.keep(_first_pairs(first)), docs, scratch)
     comps = components(links, scratch)
-    more = _verified(scratch.keep(_bucket_pairs(first, comps, scratch)), docs, scratch)
-    done = components(links.unionByName(more), scratch) if more.limit(1).count() else comps
+    for nearest in (True, False):
+        more = _verified(_bucket_pairs(first, comps, scratch, nearest), docs, scratch)
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            comps = components(links, scratch)
+    done = comps
     of_class = classes.join(done, classes.rep == done.id, "left").select("key", "n", F.coalesce("comp", "rep").alias("component_id"))
     return rows.join(of_class, ["key", "n"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
