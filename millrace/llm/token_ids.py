@@ -1,13 +1,18 @@
-"""Token ids of whole texts, with each different word of a batch encoded once."""
+"""Token ids of whole texts, with each different word encoded once."""
 
 from __future__ import annotations
 
+import json
 import os
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from .transducer import split_words, vocabulary
+from .transducer import vocabulary
+from .wordcache import WordTable
 
 _MADE: dict[str, object] = {}
 
@@ -25,23 +30,84 @@ def tokenizer(name: str):
     return _MADE[name]
 
 
-def encode(arr: pa.LargeStringArray, name: str = "word_bpe_49k.json", step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+#: Words that the normaliser changes letter by letter and that can be encoded side by side: printable ASCII and Latin-1 letters.
+PLAIN = "^[\\x{21}-\\x{7E}\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{FF}]+$"
+#: Fixed value: the pre-tokenizer's pattern, with upper-case contractions as they are before lower-casing.
+PART = "(?i:'s|'t|'re|'ve|'m|'ll|'d)|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+"
+
+
+@dataclass
+class _Ends:
+    """Which ids end a part of a word; None if the vocabulary doesn't mark them or parts words otherwise."""
+
+    last: np.ndarray | None
+
+
+def _ends(name: str) -> _Ends:
+    if name not in _ENDS:
+        t = tokenizer(name)
+        with open(vocabulary(name), encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix")
+        patterns = [p["pattern"].get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        last = None
+        if suffix and patterns == [PART.replace("(?i:", "").replace("'d)", "'d").replace("\\p{L}+|\\p{N}", "[\\p{L}]+|[\\p{N}]")]:
+            last = np.zeros(t.get_vocab_size(), bool)
+            last[[i for w, i in t.get_vocab().items() if w.endswith(suffix)]] = True
+        _ENDS[name] = _Ends(last)
+    return _ENDS[name]
+
+
+_ENDS: dict[str, _Ends] = {}
+
+
+def _one_by_one(words: list[str], name: str, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    t, ids, size = tokenizer(name), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for i in range(0, len(words), step):
+        got = [e.ids for e in t.encode_batch_fast(words[i : i + step], add_special_tokens=False)]
+        size.append(np.fromiter(map(len, got), np.int64, len(got)))
+        ids.append(np.fromiter(chain.from_iterable(got), np.uint32, int(size[-1].sum())))
+    return np.concatenate(ids), np.concatenate(size)
+
+
+def _encode_words(words: pa.LargeStringArray, name: str, step: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of different words and how many each has.
+
+    Plain words are encoded many at a time with spaces between; ids that end a part, and how many parts each word has, tell
+    where words end. Where the sums don't agree, and for other words, each is encoded on its own.
+    """
+    last = _ends(name).last
+    plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False) & ~pc.match_substring(words, "<|").to_numpy(zero_copy_only=False) if last is not None else np.zeros(len(words), bool)
+    some, rest = words.filter(pa.array(plain)), words.filter(pa.array(~plain))
+    parts, names, t = pc.count_substring_regex(some, PART).to_numpy(), some.to_pylist(), tokenizer(name)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for i, e in zip(range(0, len(names), step), t.encode_batch_fast([" ".join(names[i : i + step]) for i in range(0, len(names), step)], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, np.uint32)
+        ends, n = np.flatnonzero(last[ids]) + 1, parts[i : i + step]
+        if len(ends) == n.sum() and n.all():
+            found.append((ids, np.diff(ends[np.cumsum(n) - 1], prepend=0)))
+        else:
+            found.append(_one_by_one(names[i : i + step], name))
+    found.append(_one_by_one(rest.to_pylist(), name))
+    ids, size = (np.concatenate(x) for x in zip(*found, strict=True))
+    # Back to the order of the words: the plain ones came first.
+    order = np.empty(len(words), np.int64)
+    order[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(len(words))
+    begin, size_in_order = np.cumsum(size) - size, size[order]
+    at = np.repeat(begin[order] - (np.cumsum(size_in_order) - size_in_order), size_in_order)
+    return ids[at + np.arange(len(at))], size_in_order
+
+
+_TABLES: dict[str, WordTable] = {}
+
+
+def encode(arr: pa.LargeStringArray, name: str = "word_bpe_49k.json") -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after the other, and where each text's begin (n + 1 numbers).
 
     The tokenizer drops ASCII white space, and neither its normaliser nor its pieces cross it, so the ids of a
     text are those of its words.
     """
-    t = tokenizer(name)
-    codes, names, first = split_words(arr)
-    words = names.to_pylist()
-    ids, size = [], []
-    for i in range(0, len(words), step):
-        got = [e.ids for e in t.encode_batch_fast(words[i : i + step], add_special_tokens=False)]
-        size.append(np.fromiter(map(len, got), np.int64, len(got)))
-        ids.append(np.fromiter((x for e in got for x in e), np.uint32, int(size[-1].sum())))
-    ids, size = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((ids, np.uint32), (size, np.int64)))
-    begin, each = np.cumsum(size) - size, size[codes]
-    total = np.concatenate([[0], np.cumsum(each)])
-    at = np.repeat(begin[codes] - total[:-1], each)
-    at += np.arange(len(at))
-    return ids[at], total[first]
+    if name not in _TABLES:
+        tokenizer(name)
+        _TABLES[name] = WordTable(lambda words: _encode_words(words, name))
+    return _TABLES[name].all_values(arr)

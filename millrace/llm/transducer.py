@@ -8,7 +8,7 @@ every state the tokens that its end adds. Its states are compiled when they are
 are dropped and begun anew at a bound, so that memory doesn't grow with the corpus.
 
 Texts are cut into words, words into pieces by the tokenizer's own rule; the transducer runs over all different pieces
-of a batch at once, one byte a step. White space resets it, so a text's count is the sum over its words. Pieces
+of new words at once, one byte a step; counts of words that a worker has met are looked up. White space resets it, so a text's count is the sum over its words. Pieces
 of over CHUNK bytes are cut; each chunk has a state map, from states it may be entered in to exit state and count, and
 maps compose associatively in a prefix scan.
 
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import annotate, table
+from .wordcache import WordTable
 
 CHUNK, WARM = 256, 64
 #: Compiled states at which the tables are dropped.
@@ -237,6 +238,7 @@ class Counter:
             raise ValueError("this transducer reads word-level BPE files with NFC, Replace, Lowercase; Split, ByteLevel")
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.pattern = regex.compile(parts[0]["pattern"]["Regex"] + "|\n")
+        self.table = WordTable(lambda words: (np.zeros(0, np.uint32), self.words(words.to_pylist())))
         self.machine = Transducer(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
 
     def normalise(self, text: str) -> str:
@@ -263,14 +265,11 @@ class Counter:
         codes = coded.indices.to_numpy()
         total = np.concatenate([[0], np.cumsum(each[codes])])
         at = np.flatnonzero(line[codes])
-        return np.diff(total[np.concatenate([[0], at + 1])]) + extra
+        return np.diff(total[np.concatenate([[0], at + 1])]) + extra  # a newline ends each word
 
     def __call__(self, arr: pa.LargeStringArray) -> np.ndarray:
         """Token counts of texts."""
-        codes, names, offsets = split_words(arr)
-        each = self.words(names.to_pylist()) if len(names) else np.zeros(0, np.int64)
-        total = np.concatenate([[0], np.cumsum(each[codes])]).astype(np.int64)
-        return np.diff(total[offsets])
+        return self.table.sizes(arr)
 
 
 def split_words(arr: pa.LargeStringArray) -> tuple[np.ndarray, pa.LargeStringArray, np.ndarray]:
