@@ -31,6 +31,10 @@ TOXIC, ORDINARY, LONGEST = 2000, 4000, 100_000
 WINDOW, OVERLAP, THRESHOLD = 32, 20, 0.7
 #: Different neighbours on either side that a toxic word must have.
 LEAST = 3
+#: Folds by which the threshold is calibrated.
+FOLDS = 3
+#: Toxic rows from which a quarter is set aside instead.
+ENOUGH = 600
 #: Bytes of a dictionary.
 SIZE = 31 << 10
 #: Before each word, so that a match of the 7 bytes that zstandard needs has the first letters of a word or 7 inside.
@@ -125,12 +129,8 @@ def _surroundings(data: list[bytes]) -> tuple[dict[bytes, int], int]:
     return {w: n for w in left if (n := min(len(left[w]), len(right[w]))) > 1}, total
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
-    """Dictionaries from three quarters of either class, weights and threshold from the rest; share: of toxic rows among all."""
-    if not toxic or not ordinary:
-        return Model()
-    few = min(len(toxic), len(ordinary)) < 100
-    t, o = (toxic, ordinary) if few else (toxic[: len(toxic) * 3 // 4], ordinary[: len(ordinary) * 3 // 4])
+def _dictionaries(t: list[bytes], o: list[bytes]) -> Model:
+    """Dictionaries of the words that mark toxic texts, and of ordinary ones."""
     (ct, nt), (co, no) = _surroundings(t), _surroundings(o)
     least = max(LEAST, 10 * len(t) // 1500)
     rate = lambda w, c, n: (c.get(w, 0) + 0.5) / max(n, 1)
@@ -141,10 +141,30 @@ def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
     plain = sorted((w for w, n in co.items() if n >= 2 and len(w) > 3 and rate(w, ct, nt) < 2 * rate(w, co, no)), key=lambda w: (w[:4] in begin, co[w], w))
     model = Model(_content(marks), b"")
     model.ordinary = _content(plain)[-max(len(model.toxic), 1) :].rjust(len(model.toxic), END)
-    rest_t, rest_o = (toxic, ordinary) if few else (toxic[len(t) :], ordinary[len(o) :])
-    x = model.features(spelled(pa.array([t.decode() for t in rest_t + rest_o], pa.large_string())))
-    y = np.r_[np.ones(len(rest_t)), np.zeros(len(rest_o))]
-    weight = np.where(y == 1, share / max(len(rest_t), 1), (1 - share) / max(len(rest_o), 1)) * len(y)
+    return model
+
+
+def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
+    """Dictionaries, and weights and threshold from rows that the dictionaries haven't seen. share: of toxic rows among all.
+
+    Where there are toxic rows enough, the last quarter of either class is set aside for that; otherwise all rows go
+    into the dictionaries, and folds, each with the dictionaries of the others, stand in.
+    """
+    if not toxic or not ordinary:
+        return Model()
+    if len(toxic) >= ENOUGH:
+        cut = [len(rows) * 3 // 4 for rows in (toxic, ordinary)]
+        model = _dictionaries(toxic[: cut[0]], ordinary[: cut[1]])
+        tests = [(model, toxic[cut[0] :], ordinary[cut[1] :])]
+    else:
+        model, kept = _dictionaries(toxic, ordinary), lambda rows, k: [r for i, r in enumerate(rows) if i % FOLDS != k]
+        tests = [(_dictionaries(kept(toxic, k), kept(ordinary, k)), toxic[k::FOLDS], ordinary[k::FOLDS]) for k in range(FOLDS)]
+    x, y = [], []
+    for part, t, o in tests:
+        x.append(part.features(spelled(pa.array([r.decode() for r in t + o], pa.large_string()))))
+        y.append(np.r_[np.ones(len(t)), np.zeros(len(o))])
+    x, y = np.concatenate(x), np.concatenate(y)
+    weight = np.where(y == 1, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1)) * len(y)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z, b = np.c_[np.ones(len(x)), (x - model.mean) / model.scale], np.zeros(5)
     for _ in range(40):  # Newton steps of logistic regression
