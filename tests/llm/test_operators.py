@@ -265,6 +265,16 @@ def test_quality(docs, empty):
     assert len(rows) == len(TEXTS) + 1 and quality.judge(empty).count() == 0
 
 
+def test_quality_ignores_copies(spark):
+    """A group of copies that is most of a language moves no verdict: not by the model and not by the band."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    before = {r.doc_id: (r.quality.kept, r.quality.log_perplexity) for r in quality.judge(docs).collect()}
+    one = next(r for r in docs.where("lang = 'de'").orderBy("doc_id").collect() if before[r.doc_id][0])
+    copies = spark.range(500).selectExpr("-1 - id AS doc_id").crossJoin(docs.where(f"doc_id = {one.doc_id}").select("text", "lang"))
+    after = {r.doc_id: (r.quality.kept, r.quality.log_perplexity) for r in quality.judge(docs.unionByName(copies)).collect()}
+    assert {k: v for k, v in after.items() if k >= 0} == before and all(after[-1 - i] == before[one.doc_id] for i in range(500))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
