@@ -275,6 +275,28 @@ def test_quality_ignores_copies(spark):
     assert {k: v for k, v in after.items() if k >= 0} == before and all(after[-1 - i] == before[one.doc_id] for i in range(500))
 
 
+def test_quality_of_a_rare_language(spark):
+    """A language's own model, and so the verdicts of its documents, don't depend on its share of the rows."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("lang IN ('de', 'en')")
+    many = spark.range(20_000).select((-1 - F.col("id")).alias("doc_id"), F.concat(F.lit("short "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    rare = docs.unionByName(many).unionByName(spark.createDataFrame([(-30_000, "uno dos tres", "es"), (-30_001, "un deux trois", "fr")], docs.schema))
+    a, b = quality.train(docs), quality.train(rare)
+    assert (a.languages, b.languages) == (["de", "en"], ["de", "en", "es", "fr"])
+    for x, y in zip(a.orders[0], b.orders[0], strict=True):
+        assert all(np.array_equal(p, q) for p, q in zip(x, y, strict=True))
+
+
+def test_back_off_is_a_distribution():
+    arr = quality.texts(quality.pa.record_batch({"text": ["the cat sat on the mat", "a dog"]}))
+    codes, n = np.unique(quality.grams(arr)[0].astype(np.int64), return_counts=True)
+    model = quality.Model(["en"], [quality.smooth(codes, n)])
+    for context in [0, int(codes[0]) >> quality.BITS, int(codes[-1]) >> quality.BITS, 5 << quality.BITS | 6]:
+        every = (context << quality.BITS) + np.arange(1 << quality.BITS)
+        assert abs((10 ** model.lookup(0, every)).sum() - 1) < 1e-4
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
