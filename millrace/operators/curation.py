@@ -59,27 +59,58 @@ def trigrams(s: str) -> set[str]:
     return {s[i : i + 3] for i in range(max(1, len(s) - 2))}
 
 
-@query()
-def dedup_near_trigram(t, least: float = 0.92, block: int = 500):
-    """Keep-first near duplicates of user turns within blocks of equal role and like length.
+def near_links(x: DataFrame, least: float) -> DataFrame:
+    """a < b: all pairs of ids in one role whose trigram sets have Jaccard similarity `least` or more. x: id, role, shape.
 
-    Greedy choice needs order, so each block is one group; blocks are split by hash of the opening characters where they
-    are common, and hold `block` rows on average.
+    An exact prefix filter: two such sets have one, or two where that is sure, of their rarest trigrams in common.
     """
-    ship_package(t.spark)
-    x = shaped(t).where("role = 'user'").withColumn("len", F.floor(F.log2(F.length("shape") + 1))).withColumn("head", F.substring(squash(F.col("shape")), 1, 8))
-
-    def keep(part: pd.DataFrame) -> pd.DataFrame:
-        kept: list[set[str]] = []
-        out = []
-        for _, row in part.sort_values("id").iterrows():
-            g = trigrams(row["shape"])
-            if not any(len(g & k) >= least * len(g | k) for k in kept):
-                kept.append(g)
-                out.append(row["id"])
-        return pd.DataFrame({"id": out})
-
-    return x.groupBy("role", "len", "head").applyInPandas(keep, "id bigint")
+
+    def grams(c: str):
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substr(c, i, F.lit(3))))
+
+    each = x.select("id", "role", F.explode(grams("shape")).alias("w"))
+    ranked = each.join(each.groupBy("w").agg(F.count(F.lit(1)).alias("f")), "w").groupBy("id", "role").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("r"))
+    n = F.size("r")
+    shared = F.ceil(n * F.lit(least) - 1e-9)
+    start = F.transform(F.slice("r", F.lit(1), F.least(n, n - shared + 2).cast("int")), lambda v: v["w"])
+    two = F.flatten(F.transform(start, lambda v, i: F.transform(F.slice(start, F.lit(1), i), lambda u: F.concat(u, F.lit("\n\n"), v))))
+    keys = ranked.select("id", "role", n.alias("n"), F.explode(F.concat(two, F.when(shared < 2, start).otherwise(F.array().cast("array<string>")))).alias("key"))
+    left, right = (keys.select("role", "key", F.col("id").alias(i), F.col("n").alias(f"n_{i}")) for i in "ab")
+    near = left.join(right, ["role", "key"]).where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b") - 1e-9)).select("a", "b").distinct()
+    # Texts are joined, not their sets: these are many times as large.
+    both = near.join(x.select(F.col("id").alias("a"), F.col("shape").alias("s_a")), "a").join(x.select(F.col("id").alias("b"), F.col("shape").alias("s_b")), "b")
+    both = both.select("a", "b", grams("s_a").alias("g_a"), grams("s_b").alias("g_b"))
+    same = F.size(F.array_intersect("g_a", "g_b"))
+    return both.where(same >= F.lit(least) * (F.size("g_a") + F.size("g_b") - same)).select("a", "b")
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """df without its lineage, in the cluster's shared folder if spark.checkpoint.dir names one."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+
+
+def keep_first(x: DataFrame, least: float) -> DataFrame:
+    """The ids kept when turns are taken in order of id and dropped if near a kept one of their role. Ids are unique.
+
+    Of equal shapes only the first can be kept. The others are settled in rounds: a turn is dropped once an earlier near
+    one is kept, and kept once all earlier near ones are dropped.
+    """
+    first = _settled(x.groupBy("role", "shape").agg(F.min("id").alias("id")))
+    open_ = _settled(near_links(first, least))
+    dropped = None
+    while not open_.isEmpty():
+        kept = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")), "a", "left_anti")
+        gone = _settled(open_.join(kept, "a").select("b").distinct())
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        open_ = _settled(open_.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti"))
+    ids = first.select("id")
+    return ids if dropped is None else ids.join(dropped.select(F.col("b").alias("id")), "id", "left_anti")
+
+
+@query()
+def dedup_near_trigram(t, least: float = 0.92, block: int = 500):
+    """Keep-first near duplicates of user turns, whatever their length and opening; `block` has no effect."""
+    return keep_first(shaped(t).where("role = 'user'").select("id", "role", "shape"), least)
 
 
 def balanced(df: DataFrame, stratum: str, cover: str, key: str, target: dict[str, int]) -> DataFrame:
