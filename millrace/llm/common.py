@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -16,11 +18,50 @@ from pyspark.sql import DataFrame, SparkSession
 from ..plans.runtime import ship_package
 
 _OWN: list[str] = []
+_HELD: list[dict] = []
+
+
+def held() -> dict:
+    """A dictionary for what a worker process builds once a task, such as tables; emptied when the task ends."""
+    _HELD.append({})
+    return _HELD[-1]
+
+
+def release() -> None:
+    """Empty all held() and return free memory to the system, so that idle workers are small."""
+    for x in _HELD:
+        x.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not every C library has it
 
 
 def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """mapInArrow whose workers hold nothing between tasks."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that df doesn't have, in any case, one for each stem."""
+    used, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = stem
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +69,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode, as in tests."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="millrace-"))
         atexit.register(shutil.rmtree, _OWN[0], True)
@@ -111,7 +155,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_POW: dict[str, np.ndarray] = {}
+_POW: dict[str, np.ndarray] = held()
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 

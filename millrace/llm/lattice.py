@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, map_arrow, pieces, table, texts
+from .common import LOWER, Scratch, held, map_arrow, pieces, table, texts
 from .transducer import split_words, vocabulary
 
 ROUNDS = 3
@@ -129,7 +129,7 @@ def hash_bytes(word: bytes) -> int:
     return out
 
 
-_MADE: dict[str, Lattice] = {}
+_MADE: dict[str, Lattice] = held()
 
 
 def lattice(name: str) -> Lattice:

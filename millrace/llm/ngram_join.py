@@ -1,21 +1,23 @@
 """Near-duplicate documents: an exact Jaccard join of word 5-gram sets, by signature trees.
 
-Equal sets are one class, and only its least document goes on. In a fixed order of all shingles two sets of similarity
-0.75 or more share one of the first n - ceil(0.75 n) + 1 of either; documents that share such a shingle form a bucket.
-The order puts shingles that many documents have last, so that passages in many documents make no large buckets;
-it is found from counts in each task and only decides how much work there is, never what is found.
-
-Links are found in three steps. First each document is compared with the likely source of its group of copies, found by
-their least hashes, which joins most groups with a comparison or two each. Then every bucket that still holds two
-components is searched whole, first for the likeliest partner of each document, then for all pairs left, by signature trees: nodes hold the OR of their documents' token
-bitmaps, their range of sizes and the most tokens that fell on taken bits, and a dual traversal from the root goes down
-only into pairs of nodes whose greatest possible overlap is enough. Buckets of over BLOCK documents are cut
-into blocks, and every two blocks are a tree pair of their own, so no task holds an unbounded bucket. Every pair left is
-compared by its whole sets. Pairs within one component need no comparison: they are joined already.
+In a fixed order of all shingles two sets of similarity 0.75 or more share one of the first n - ceil(0.75 n) + 1 of
+either. The order puts shingles that many documents have last, so that passages in many documents make no large
+buckets; it is found from counts in each task and only decides how much work there is, never what is found. Documents
+that share such a shingle form a bucket, and buckets with the same least document are searched as one.
+
+Equal sets are one class, and only its least document goes on. Each document is first compared with the least
+document of the bucket in which it shares most with it, which joins most groups with a comparison or two each. Then every
+bucket that still holds two components is searched, first for the likeliest partner of each document, then for all pairs
+left, by signature trees: nodes hold the OR of their documents' token bitmaps, their range of sizes and the most tokens
+that fell on taken bits, and a dual traversal from the root goes down only into pairs of nodes whose greatest possible
+overlap is enough. Buckets of over BLOCK documents are cut into blocks by size and by least shingle; of these, only roots
+meet at first, and only pairs of blocks that the roots can't rule out are brought together. Every pair left is compared
+by its whole sets. Pairs within one component need no comparison: they are joined already.
 
 Texts without words have an empty set and are linked with nothing; null texts likewise. Texts of fewer than five words
 have one shingle, the whole sequence. Rows that repeat a doc_id are one document with all their texts' links. Rows with a
-null doc_id come back with a null component. An empty table gives no rows.
+null doc_id come back with a null component. Ids are whole numbers (bigint). An empty table gives no rows; other columns
+are not looked at, whatever their names. A text must fit a worker's memory some forty times over, while its words are hashed.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, Scratch, buffer_of, gram_hashes, map_arrow, mix, pieces, table, texts, word_hashes, word_spans
+from .common import LOWER, NOT_SPACE, Scratch, buffer_of, fresh, gram_hashes, map_arrow, mix, pieces, table, texts, word_hashes, word_spans
 from .components import components
 
 K = 5
@@ -35,12 +37,12 @@ K = 5
 NUM, DEN = 3, 4
 #: Documents of a bucket in one tree; children of a node.
 BLOCK, FAN = 1024, 8
+#: 64-bit words of the bitmap of a block's root.
+ROOT = 32
 #: Shingles that a task counts at once, times one must have there, and how many are put in order by their counts.
-COUNTED, OFTEN, ORDERED = 1 << 22, 4, 1 << 20
-#: Least hashes of a set by which a document finds whom to be compared with first.
-EARLY = 24
-#: Rows of ids or shingles (8 to 40 bytes each) up to which they are broadcast; beyond it rows are shuffled.
-BROADCAST_ROWS = 1_500_000
+COUNTED, OFTEN, ORDERED = 1 << 20, 4, 1 << 19
+#: Bytes of a column of ids up to which it is broadcast; beyond it texts are shuffled.
+BROADCAST_BYTES = 16 << 20
 
 
 def sets(arr: pa.LargeStringArray) -> list[np.ndarray]:
@@ -117,31 +119,40 @@ def _profile(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "id bigint, n bigint, key binary, h bigint, df bigint")
 
 
-def _prefixes(docs: DataFrame, often: np.ndarray, level: np.ndarray) -> DataFrame:
-    """id, n, key, the shingles that come first and the bitmap of each document with a set."""
+def _early(docs: DataFrame, often: np.ndarray, level: np.ndarray) -> DataFrame:
+    """Rows (id, h) of the shingles of each document that come first in the order."""
     box = docs.sparkSession.sparkContext.broadcast((often, level))  # ORDERED shingles at most
 
     def run(batches):
         often, level = box.value
-        for batch in pieces(batches, "text", 4 << 20):
-            rows = []
-            for i, s in zip(batch.column(batch.schema.get_field_index("id")).to_pylist(), sets(texts(batch)), strict=True):
-                if not len(s) or i is None:
-                    continue
-                early = s
-                if len(often):
+        for batch in pieces(batches, "text", 2 << 20):
+            got, ids = [], batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
+            for s in sets(texts(batch)):
+                early, n = s, len(s)
+                if len(often) and n:
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     rank = np.where(often[at] == s, level[at], 0)
                     if rank.any():
                         early = s[np.argsort(rank, kind="stable")]
-                n = len(s)
-                rows.append((i, n, np.array([s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)]).tobytes(), early[: n - -(-NUM * n // DEN) + 1].view(np.int64), s[:EARLY].view(np.int64), bitmap(s).tobytes()))
-            for a in range(0, len(rows), 2000):
-                c = list(zip(*rows[a : a + 2000], strict=True))
-                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in v])]), pa.int32()), pa.array(np.concatenate(v))) for v in c[3:5]]
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), *lists, pa.array(c[5], pa.binary())], names=["id", "n", "key", "first", "least", "bits"])
+                got.append(early[: n - -(-NUM * n // DEN) + 1] if n else s)
+            every = np.concatenate(got).view(np.int64) if got else np.zeros(0, np.int64)
+            owner = np.repeat(ids, [len(x) for x in got])
+            for a in range(0, len(every), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(owner[a : a + 50_000], pa.int64()), pa.array(every[a : a + 50_000])], names=["id", "h"])
+
+    return map_arrow(docs.where("id IS NOT NULL"), run, "id bigint, h bigint")
+
+
+def _signed(docs: DataFrame) -> DataFrame:
+    """id, n, the least shingle and the bitmap of each document with a set."""
 
-    return map_arrow(docs, run, "id bigint, n bigint, key binary, first array<bigint>, least array<bigint>, bits binary")
+    def run(batches):
+        for batch in pieces(batches, "text", 2 << 20):
+            got = [(i, len(s), int(s[:1].view(np.int64)[0]), bitmap(s).tobytes()) for i, s in zip(batch.column(0).to_pylist(), sets(texts(batch)), strict=True) if len(s)]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "n", "least", "bits"])
+
+    return map_arrow(docs.select("id", "text"), run, "id bigint, n bigint, least bigint, bits binary")
 
 
 @contextlib.contextmanager
@@ -156,14 +167,16 @@ def _small_batches(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _some(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of some different ids, a written column."""
+    most = BROADCAST_BYTES // 8
+    return docs.join(F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids, "id", "left_semi")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are similar enough."""
     ids = scratch.keep(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    some = docs.join(_maybe_broadcast(ids), "id", "left_semi")
+    some = _some(docs, ids)
 
     def run(batches):
         for batch in batches:
@@ -172,30 +185,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(ok)
 
     both = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    with _small_batches(docs.sparkSession, 256):
-        return scratch.keep(map_arrow(both, run, "a bigint, b bigint"))
-
-
-def _similar_sizes(a: str, b: str):
-    return DEN * F.least(a, b) >= NUM * F.greatest(a, b)
-
-
-def _first_pairs(first: DataFrame) -> DataFrame:
-    """Each document with a document that it shares many of its least hashes with: the one in most company, and the first one.
-
-    Whoever shares the most hashes with others is the likely source of a group of copies, and links most of it at once.
-    """
-    each = first.select("id", "n", F.explode("least").alias("h"))
-    many = each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = each.join(many, "h")
-    company = met.groupBy("id").agg(F.sum("c").alias("company"))
-    rated = met.join(company, "id").select("h", "id", "n", "company")
-    heads = rated.groupBy("h").agg(F.max(F.struct("company", (-F.col("id")).alias("m"), "n")).alias("top"), F.min(F.struct("id", "n")).alias("one"))
-    heads = heads.select("h", F.array(F.struct(F.lit(0).alias("side"), (-F.col("top.m")).alias("id"), F.col("top.n").alias("n")), F.struct(F.lit(1).alias("side"), "one.id", "one.n")).alias("heads"))
-    pairs = rated.join(heads, "h").select("id", "n", F.explode("heads").alias("to"))
-    votes = pairs.where((F.col("to.id") != F.col("id")) & _similar_sizes("n", "to.n")).groupBy("id", "to.side", F.col("to.id").alias("with")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("id", "side").agg(F.max(F.struct("votes", (-F.col("with")).alias("w"))).alias("m")).select("id", (-F.col("m.w")).alias("with"))
-    return best.select(F.least("id", "with").alias("a"), F.greatest("id", "with").alias("b")).distinct()
+    with _small_batches(docs.sparkSession, 128):
+        out = scratch.keep(map_arrow(both, run, "a bigint, b bigint"))
+    scratch.free(ids)
+    return out
 
 
 class Tree:
@@ -349,21 +342,98 @@ def _search(rows: DataFrame, nearest: bool) -> DataFrame:
     return map_arrow(ordered, run, "a bigint, b bigint").distinct()
 
 
-def _bucket_pairs(first: DataFrame, comps: DataFrame, scratch: Scratch, nearest: bool) -> DataFrame:
-    """Candidate pairs of documents that share an early shingle and are in different components; all, or the likeliest of each document."""
-    known = scratch.keep(first.select("id", "n", "first", "bits").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
-    each = known.select("id", "comp", F.explode("first").alias("h"))
-    # Buckets that begin with the same document mostly hold the same ones; they are searched as one.
-    mixed = scratch.keep(each.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("id").alias("g")).where("c0 <> c1").select("h", "g"))
-    rows = scratch.keep(each.join(_maybe_broadcast(mixed), "h").select("g", "id").distinct())
-    size = rows.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
-    dealt = rows.join(size, "g").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("own", F.when(F.col("blocks") > 1, own).otherwise(0)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.col("g").alias("h"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id")
-    dealt = dealt.join(known.select("id", "n", "comp", "bits"), "id").select("h", "i", "j", "side", "id", "n", "comp", "bits")
-    out = scratch.keep(_search(dealt, nearest))
-    scratch.free(known, mixed, rows)
+def _buckets(docs: DataFrame, often: np.ndarray, level: np.ndarray, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """g, id, votes: the least document of a bucket, another of it, and how many early shingles they share through it."""
+    early = _early(docs, often, level)
+    shared = early.groupBy("h").agg(F.min("id").alias("g"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "g")
+    met = early.join(shared, "h").groupBy("g", "id").agg(F.count(F.lit(1)).alias("votes"))
+    own = reps.select("id", "rep")
+    met = met.join(own, "id").select("g", F.col("rep").alias("id"), "votes").groupBy("g", "id").agg(F.max("votes").alias("votes"))
+    met = met.join(own.select(F.col("id").alias("g"), F.col("rep").alias("r")), "g").select(F.col("r").alias("g"), "id", "votes")
+    met = met.groupBy("g", "id").agg(F.max("votes").alias("votes"))
+    return scratch.keep(met.unionByName(met.select("g", F.col("g").alias("id"), F.lit(0).cast("bigint").alias("votes")).distinct()).groupBy("g", "id").agg(F.max("votes").alias("votes")))
+
+
+def _first_pairs(buckets: DataFrame, reps: DataFrame) -> DataFrame:
+    """Each document with the bucket's least document that it shares the most early shingles with, if their sizes allow."""
+    size = reps.select("id", "n")
+    near = buckets.where("g <> id").join(size, "id").join(size.select(F.col("id").alias("g"), F.col("n").alias("gn")), "g").where(DEN * F.least("n", "gn") >= NUM * F.greatest("n", "gn"))
+    best = near.groupBy("id").agg(F.max(F.struct("votes", (-F.col("g")).alias("w"))).alias("m")).select("id", (-F.col("m.w")).alias("with"))
+    return best.select(F.least("id", "with").alias("a"), F.greatest("id", "with").alias("b")).distinct()
+
+
+def _size_class(n):
+    """Sets that may link are of one class or of two that follow each other."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(DEN / NUM)) + 1e-9).cast("int")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """rows (h, m, id, n, comp, least, bits) with their block: of one size class, of like least shingles, of about BLOCK at most."""
+    rows = rows.withColumn("class", _size_class(F.col("n"))).withColumn("part", F.pmod(F.xxhash64("least"), F.ceil(F.col("m") / BLOCK)))
+    size = rows.groupBy("h", "class", "part").agg(F.count(F.lit(1)).alias("c"))
+    rows = rows.join(size, ["h", "class", "part"]).withColumn("block", F.xxhash64("class", "part", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK))))
+    return rows.select("h", "class", "block", "id", "n", "comp", "bits")
+
+
+ROOTS = "h bigint, class int, block bigint, low bigint, high bigint, lost bigint, c0 bigint, c1 bigint, map binary"
+
+
+def _roots(rows: DataFrame) -> DataFrame:
+    """The root of each block: its range of sizes, the most tokens on taken bits, its range of components, the OR of its bitmaps."""
+
+    def root(part: pa.Table) -> pa.Table:
+        n, comp, maps, lost = part.column("n").to_numpy(), part.column("comp").to_numpy(), np.zeros(ROOT, np.uint64), 0
+        for raw, size in zip(part.column("bits").to_pylist(), n.tolist(), strict=True):
+            one = fold(np.frombuffer(raw, np.uint64)[None, :], ROOT)[0]
+            lost = max(lost, size - int(ones(one)))
+            maps |= np.tile(one, ROOT // len(one))  # a narrower bitmap stands for all places that it may come from
+        h, kind, block = (part.column(c)[0].as_py() for c in ("h", "class", "block"))
+        return pa.table([pa.array([h], pa.int64()), pa.array([kind], pa.int32()), pa.array([block], pa.int64()), *(pa.array([int(x)], pa.int64()) for x in (n.min(), n.max(), lost, comp.min(), comp.max())), pa.array([maps.tobytes()], pa.binary())], names=[x.split()[0] for x in ROOTS.split(", ")])
+
+    return rows.groupBy("h", "class", "block").applyInArrow(root, ROOTS)
+
+
+def _met(roots: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of every two blocks (or one with itself) that their roots can't rule out, as _search takes them."""
+    left = roots.select(*[F.col(c).alias(f"x_{c}") for c in roots.columns])
+    # Sets that may link are of one size class or of two in turn.
+    right = roots.withColumn("at", F.explode(F.array(F.col("class"), F.col("class") - 1)))
+    pairs = left.join(right, (F.col("x_h") == F.col("h")) & (F.col("x_class") == F.col("at"))).where(
+        ((F.col("x_class") < F.col("class")) | (F.col("x_block") <= F.col("block")))
+        & (DEN * F.col("x_high") >= NUM * F.col("low")) & (DEN * F.col("high") >= NUM * F.col("x_low"))
+        & ~((F.col("x_c0") == F.col("x_c1")) & (F.col("c0") == F.col("c1")) & (F.col("x_c0") == F.col("c0")))
+    )
+
+    def possible(batches):
+        for batch in batches:
+            get = lambda c, b=batch: b.column(b.schema.get_field_index(c))
+            x, y = (np.frombuffer(b"".join(get(c).to_pylist()), np.uint64).reshape(-1, ROOT) for c in ("x_map", "map"))
+            num = lambda c: get(c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            most = ones(x & y) + np.minimum(num("x_lost"), num("lost"))
+            ok = pa.array((NUM + DEN) * most >= NUM * (num("x_low") + num("low")))
+            yield pa.RecordBatch.from_arrays([get(c).filter(ok) for c in ("h", "x_block", "block")], names=["h", "p", "q"])
+
+    kept = map_arrow(pairs, possible, "h bigint, p bigint, q bigint")
+    ends = kept.select("h", "p", "q", F.explode(F.when(F.col("p") == F.col("q"), F.array(F.struct(F.col("p").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("p").alias("block"), F.lit(0).alias("side")), F.struct(F.col("q").alias("block"), F.lit(1).alias("side"))))).alias("e"))
+    ends = ends.select("h", F.col("p").alias("i"), F.col("q").alias("j"), "e.block", "e.side")
+    return rows.join(ends, ["h", "block"]).select("h", "i", "j", "side", "id", "n", "comp", "bits")
+
+
+def _bucket_pairs(buckets: DataFrame, reps: DataFrame, comps: DataFrame, docs: DataFrame, scratch: Scratch, nearest: bool) -> DataFrame:
+    """Candidate pairs of documents of one bucket and of different components; all, or the likeliest of each document."""
+    known = buckets.select("g", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = known.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1").select("g", "m")
+    rows = scratch.keep(known.join(mixed, "g").select(F.col("g").alias("h"), "id", "comp", "m"))
+    ids = scratch.keep(rows.select("id").distinct())
+    signed = scratch.keep(_signed(_some(docs, ids).join(reps.select("id"), "id", "left_semi")))
+    rows = rows.join(signed, "id")
+    small = rows.where(F.col("m") <= BLOCK).select("h", F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j"), F.lit(0).alias("side"), "id", "n", "comp", "bits")
+    found = [_search(small, nearest)]
+    if rows.where(F.col("m") > BLOCK).limit(1).count():
+        dealt = scratch.keep(_blocks(rows.where(F.col("m") > BLOCK)))
+        found.append(_search(_met(scratch.keep(_roots(dealt)), dealt), nearest))
+    out = scratch.keep(found[0] if len(found) == 1 else found[0].unionByName(found[1]).distinct())
+    scratch.free(signed, ids)
     return out
 
 
@@ -376,27 +446,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     often = profile.where(F.col("h").isNotNull()).groupBy("h").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "h").limit(ORDERED).toPandas().sort_values("h", key=lambda h: h.to_numpy(np.int64).view(np.uint64))
     level = np.log2(np.maximum(often["df"].to_numpy(float), 1)).astype(np.uint8)
     rows = profile.where(F.col("h").isNull()).select("id", "n", "key")
-    classes = scratch.keep(rows.where("n > 0 AND id IS NOT NULL").groupBy("key", "n").agg(F.min("id").alias("rep")))
-    first = scratch.keep(_prefixes(docs, often["h"].to_numpy(np.int64).view(np.uint64), level))
-    first = first.join(classes.select("key", "n", F.col("rep").alias("id")), ["key", "n", "id"], "left_semi")
-
-    links = _verified(scratch.keep(_first_pairs(first)), docs, scratch)
+    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("key", "n").agg(F.min("id").alias("rep"))
+    # A document is represented by the least one of its class; one whose rows differ is itself, and linked with the classes of all.
+    reps = rows.where("n > 0 AND id IS NOT NULL").join(classes, ["key", "n"]).groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.max("n").alias("n"))
+    reps = scratch.keep(reps.select("id", "n", "a", "z", F.when(F.col("a") == F.col("z"), F.col("a")).otherwise(F.col("id")).alias("rep")))
+    several = rows.where("n > 0 AND id IS NOT NULL").join(classes, ["key", "n"]).join(reps.where("a <> z").select("id"), "id", "left_semi")
+    same = several.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    buckets = _buckets(docs, often["h"].to_numpy(np.int64).view(np.uint64), level, reps, scratch)
+    heads = reps.where("id = rep")
+
+    links = _verified(scratch.keep(_first_pairs(buckets, heads)), docs, scratch).unionByName(same)
     comps = components(links, scratch)
     for nearest in (True, False):
-        more = _verified(_bucket_pairs(first, comps, scratch, nearest), docs, scratch)
+        more = _verified(_bucket_pairs(buckets, heads, comps, docs, scratch, nearest), docs, scratch)
         if more.limit(1).count():
             links = links.unionByName(more)
             comps = components(links, scratch)
-    done = comps
-    of_class = classes.join(done, classes.rep == done.id, "left").select("key", "n", F.coalesce("comp", "rep").alias("component_id"))
-    return rows.join(of_class, ["key", "n"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    of_rep = reps.select("id", "rep").join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("id", F.coalesce("comp", "rep").alias("component_id"))
+    scratch.free(buckets)
+    return rows.join(of_rep, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One document of each group of near duplicates, that of the least doc_id; rows without a doc_id stay."""
-    found = near_duplicates(docs).where("component_id = doc_id").select(F.col("doc_id").alias("_keep")).distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).join(found, F.col("doc_id") == F.col("_keep"), "left_semi")
-    return known.unionByName(docs.where(F.col("doc_id").isNull()))
+    (name,) = fresh(docs, "_keep")
+    found = near_duplicates(docs, key).where(F.col("component_id") == F.col(key)).select(F.col(key).alias(name)).distinct()
+    known = docs.where(F.col(key).isNotNull()).join(found, F.col(key).cast("bigint") == F.col(name), "left_semi")
+    return known.unionByName(docs.where(F.col(key).isNull()))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

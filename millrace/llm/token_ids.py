@@ -11,10 +11,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import held
 from .transducer import vocabulary
 from .wordcache import WordTable
 
-_MADE: dict[str, object] = {}
+_MADE: dict[str, object] = held()
 
 
 def tokenizer(name: str):
@@ -58,7 +59,7 @@ def _ends(name: str) -> _Ends:
     return _ENDS[name]
 
 
-_ENDS: dict[str, _Ends] = {}
+_ENDS: dict[str, _Ends] = held()
 
 
 def _one_by_one(words: list[str], name: str, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +99,7 @@ def _encode_words(words: pa.LargeStringArray, name: str, step: int = 1000) -> tu
     return ids[at + np.arange(len(at))], size_in_order
 
 
-_TABLES: dict[str, WordTable] = {}
+_TABLES: dict[str, WordTable] = held()
 
 
 def encode(arr: pa.LargeStringArray, name: str = "word_bpe_49k.json") -> tuple[np.ndarray, np.ndarray]:

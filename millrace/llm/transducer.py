@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import annotate, table
+from .common import annotate, held, table
 from .wordcache import WordTable
 
 CHUNK, WARM = 256, 64
@@ -283,7 +283,7 @@ def split_words(arr: pa.LargeStringArray) -> tuple[np.ndarray, pa.LargeStringArr
     return coded.indices.to_numpy(), coded.dictionary, kept[offsets - offsets[0]]
 
 
-_MADE: dict[str, Counter] = {}
+_MADE: dict[str, Counter] = held()
 
 
 def counter(path: str) -> Counter:

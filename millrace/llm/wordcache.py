@@ -1,7 +1,7 @@
-"""Tokens of words by a table that a worker keeps: each different word is tokenized once, all others are looked up.
+"""Tokens of words by a table that a task keeps: each different word is tokenized once, all others are looked up.
 
-Words are known by 64-bit hashes of their bytes, in an open-addressing table of bounded size; a full table is emptied.
-Two words of one table may only be confused if all 64 bits agree, one chance in 10**13 for a word and a full table.
+Words are found by 64-bit hashes of their bytes in an open-addressing table of bounded size, and the bytes found are
+compared with the word's; of two words with one hash the later is tokenized where it stands. A full table is emptied.
 """
 
 from __future__ import annotations
@@ -11,8 +11,14 @@ import pyarrow as pa
 
 from .common import NOT_SPACE, buffer_of, word_hashes, word_spans
 
-#: Slots of the table, and words at which it is emptied.
-BITS, MOST = 22, 1_500_000
+#: Slots of the table, words and bytes of words at which it is emptied, and bytes that are compared at once.
+BITS, MOST, MOST_BYTES, STEP = 20, 400_000, 16 << 20, 1 << 20
+
+
+def _gather(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of spans one after the other, and where each begins (n + 1 numbers)."""
+    off = np.concatenate([[0], np.cumsum(size)])
+    return data[np.repeat(starts - off[:-1], size) + np.arange(int(off[-1]))], off
 
 
 class WordTable:
@@ -25,11 +31,13 @@ class WordTable:
     def reset(self) -> None:
         self.keys = np.zeros(1 << BITS, np.uint64)
         self.place = np.zeros(1 << BITS, np.int32)
-        self.n = 0
-        self.size = np.zeros(1 << 16, np.int32)
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.values = np.zeros(1 << 18, np.uint32)
-        self.used = 0
+        self.n = self.used = self.spelled = 0
+        self.size = np.zeros(1 << 14, np.int32)  # values of each word
+        self.begin = np.zeros(1 << 14, np.int64)
+        self.length = np.zeros(1 << 14, np.int32)  # bytes of each word
+        self.first = np.zeros(1 << 14, np.int64)
+        self.values = np.zeros(1 << 16, np.uint32)
+        self.bytes = np.zeros(1 << 18, np.uint8)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash, or -1."""
@@ -43,16 +51,27 @@ class WordTable:
             at, slot = at[more], (slot[more] + 1) & ((1 << BITS) - 1)
         return out
 
-    def add(self, h: np.ndarray, values: np.ndarray, size: np.ndarray) -> None:
-        """Put different new hashes in, with their values one after the other."""
-        while self.n + len(h) > len(self.size):
-            self.size, self.begin = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.begin))
+    def append(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Tokenize words and put them in, without a slot; their places."""
+        raw, off = _gather(data, starts, size)
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes()))
+        values, n = self.make(words)
+        while self.n + len(starts) > len(self.size):
+            self.size, self.begin, self.length, self.first = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.begin, self.length, self.first))
         while self.used + len(values) > len(self.values):
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        new = np.arange(self.n, self.n + len(h))
-        self.size[new], self.begin[new] = size, self.used + np.cumsum(size) - size
+        while self.spelled + len(raw) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        new = np.arange(self.n, self.n + len(starts))
+        self.size[new], self.begin[new] = n, self.used + np.cumsum(n) - n
+        self.length[new], self.first[new] = size, self.spelled + off[:-1]
         self.values[self.used : self.used + len(values)] = values
-        self.n, self.used = self.n + len(h), self.used + len(values)
+        self.bytes[self.spelled : self.spelled + len(raw)] = raw
+        self.n, self.used, self.spelled = self.n + len(starts), self.used + len(values), self.spelled + len(raw)
+        return new
+
+    def link(self, h: np.ndarray, new: np.ndarray) -> None:
+        """Give different new hashes slots that lead to places."""
         at, slot = np.arange(len(h)), (h >> np.uint64(64 - BITS)).astype(np.int64)
         while len(at):
             free = self.keys[slot] == 0
@@ -61,23 +80,41 @@ class WordTable:
             self.place[slot[won]] = new[at[won]]
             at, slot = at[~won], (slot[~won] + 1) & ((1 << BITS) - 1)
 
+    def differ(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which words are not, byte by byte, those at the places."""
+        other = self.length[at] != size
+        ends = np.cumsum(size)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // STEP)) + 1).tolist(), len(size)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            some = np.flatnonzero(~other[a:b]) + a
+            if len(some):
+                mine, off = _gather(data, starts[some], size[some])
+                same = mine == _gather(self.bytes, self.first[at[some]], size[some])[0]
+                if not same.all():
+                    other[some[np.searchsorted(off, np.flatnonzero(~same), side="right") - 1]] = True
+        return np.flatnonzero(other)
+
     def places(self, arr: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """Places of all the texts' words in order, and each text's first word."""
         data, offsets = buffer_of(arr)
         starts, ends, first = word_spans(data, offsets, NOT_SPACE)
-        h = word_hashes(data, starts, ends) | np.uint64(1)  # 0 is an empty slot
-        if self.n > MOST:
+        size = ends - starts
+        h = np.maximum(word_hashes(data, starts, ends), np.uint64(1))  # 0 is an empty slot
+        if self.n > MOST or self.spelled > MOST_BYTES or self.used > MOST_BYTES:
             self.reset()
         at = self.find(h)
         if len(miss := np.flatnonzero(at < 0)):
-            new, one = np.unique(h[miss], return_index=True)
-            one = miss[one]
-            size = ends[one] - starts[one]
-            off = np.concatenate([[0], np.cumsum(size)])
-            raw = data[np.repeat(starts[one] - off[:-1], size) + np.arange(int(off[-1]))]
-            words = pa.LargeStringArray.from_buffers(len(one), pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes()))
-            self.add(new, *self.make(words))
+            _, one = np.unique(h[miss], return_index=True)
+            for a in range(0, len(one), MOST // 4):  # the slots never run out
+                some = miss[one[a : a + MOST // 4]]
+                if self.n > 2 * MOST:
+                    break
+                self.link(h[some], self.append(data, starts[some], size[some]))
             at[miss] = self.find(h[miss])
+        if len(bad := np.flatnonzero(at < 0)):  # a batch of more words than the table takes
+            at[bad] = self.append(data, starts[bad], size[bad])
+        if len(bad := self.differ(data, starts, size, at)):
+            at[bad] = self.append(data, starts[bad], size[bad])
         return at, first
 
     def sizes(self, arr: pa.LargeStringArray) -> np.ndarray:
