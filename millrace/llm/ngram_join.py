@@ -184,7 +184,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
             ok = pa.array([linked(p, q) for p, q in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(ok)
 
-    both = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    # Merge joins at every size: few pairs would otherwise be broadcast, and the plan of small inputs be another.
+    both = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("x")).hint("merge"), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
     with _small_batches(docs.sparkSession, 128):
         out = scratch.keep(map_arrow(both, run, "a bigint, b bigint"))
     scratch.free(ids)
@@ -346,7 +347,7 @@ def _buckets(docs: DataFrame, often: np.ndarray, level: np.ndarray, reps: DataFr
     """g, id, votes: the least document of a bucket, another of it, and how many early shingles they share through it."""
     early = _early(docs, often, level)
     shared = early.groupBy("h").agg(F.min("id").alias("g"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "g")
-    met = early.join(shared, "h").groupBy("g", "id").agg(F.count(F.lit(1)).alias("votes"))
+    met = early.join(shared.hint("merge"), "h").groupBy("g", "id").agg(F.count(F.lit(1)).alias("votes"))
     own = reps.select("id", "rep")
     met = met.join(own, "id").select("g", F.col("rep").alias("id"), "votes").groupBy("g", "id").agg(F.max("votes").alias("votes"))
     met = met.join(own.select(F.col("id").alias("g"), F.col("rep").alias("r")), "g").select(F.col("r").alias("g"), "id", "votes")
@@ -426,7 +427,7 @@ def _bucket_pairs(buckets: DataFrame, reps: DataFrame, comps: DataFrame, docs: D
     rows = scratch.keep(known.join(mixed, "g").select(F.col("g").alias("h"), "id", "comp", "m"))
     ids = scratch.keep(rows.select("id").distinct())
     signed = scratch.keep(_signed(_some(docs, ids).join(reps.select("id"), "id", "left_semi")))
-    rows = rows.join(signed, "id")
+    rows = rows.join(signed.hint("merge"), "id")
     small = rows.where(F.col("m") <= BLOCK).select("h", F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j"), F.lit(0).alias("side"), "id", "n", "comp", "bits")
     found = [_search(small, nearest)]
     if rows.where(F.col("m") > BLOCK).limit(1).count():
