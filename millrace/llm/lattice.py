@@ -1,21 +1,25 @@
 """Language-model scores by subword lattices.
 
 Each word spans a lattice of all its segmentations into the pieces of an existing vocabulary; a forward recursion in
-log space sums over all of them. The vocabulary's own scores (ranks) give the first probabilities, as 1 / rank;
-expectation-maximisation over the different words of the training documents refits them. Beside its pieces a word that
-was seen in training has one arc over all of it, weighted by its count; what the pieces as a whole weigh is the
-share of words seen once (Good-Turing). A document's probability is the product over its words and its end.
+log space sums over all of them. The installed vocabulary is one of BPE, whose scores are ranks: 1 / rank gives the first
+probabilities, and expectation-maximisation over all words of the training documents, each weighted by its count, refits
+them. A document's probability is the product over its words and its end; a word's is that of its lattice and nothing
+else, whether training has it or not.
 
 Words are counted and scored once each, not once an occurrence: tasks send the different words of a block of documents,
 Spark counts them over all documents and joins the scores back to the blocks. What is gathered grows with the
 corpus, and no vocabulary of the corpus is ever held in one place.
 
-Null and empty texts are their end alone. Repeated rows count each time. Where there are no training documents all words
-are scored by their pieces, ends have probability 1 / 2 and base scores those of zero counts. Words of any length work.
+Null and empty texts are their end alone. Repeated rows count each time. Where there are no training documents the first
+probabilities stay, ends have probability 1 / 2 and base scores are those of zero counts. Words of over LONG bytes are
+worked on one at a time, in time and memory in proportion to their length (about 10 s and 200 MB a million bytes). Ids are whole numbers
+(bigint), null or not. An empty table gives no rows; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +30,9 @@ from .transducer import split_words, vocabulary
 
 ROUNDS = 3
 #: Text bytes of a block, and cells of a lattice table that is worked on at once.
-BLOCK, CELLS = 12 << 20, 1 << 21
+BLOCK, CELLS = 12 << 20, 1 << 20
+#: Bytes from which a word is worked on alone.
+LONG = 256
 START = b"\xff"  # stands for the mark of a word's beginning; no UTF-8 text has it
 
 
@@ -83,6 +89,11 @@ class Lattice:
         out, uses = np.zeros(len(words)), np.zeros(len(logs))
         size = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
         order, i = np.argsort(size, kind="stable"), 0
+        for k in order[size[order] > LONG].tolist():
+            out[k], got = self.forward_long(words[k], logs, weights is not None)
+            if weights is not None:
+                uses += weights[k] * got
+        order = order[size[order] <= LONG]
         while i < len(order):
             # As many words of about one length as the cells allow.
             most = int(size[order[i]]) + 4
@@ -109,6 +120,48 @@ class Lattice:
             i = j
         return out, uses
 
+    def forward_long(self, word: bytes, logs: np.ndarray, expect: bool) -> tuple[float, np.ndarray]:
+        """The same for one long word: arcs are found for all places at once, and taken in order of their ends."""
+        cells = np.frombuffer(START + word, np.uint8)
+        n = len(cells)
+        up, down = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, _inverse(1), np.uint64)
+        up[0] = down[0] = 1
+        np.multiply.accumulate(up, out=up)
+        np.multiply.accumulate(down, out=down)
+        prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum((cells.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
+        ends, sizes, ids = [np.arange(1, n + 1)], [np.ones(n, np.int64)], [self.byte[cells]]
+        for size, (known, names) in self.tables.items():
+            if size <= n:
+                h = (prefix[size:] - prefix[:-size]) * down[: n - size + 1]
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = np.flatnonzero(known[at] == h)
+                ends.append(hit + size)
+                sizes.append(np.full(len(hit), size))
+                ids.append(names[at[hit]])
+        end, size, piece = (np.concatenate(x) for x in (ends, sizes, ids))
+        order = np.argsort(end, kind="stable")
+        begin, end, piece = (end - size)[order], end[order], piece[order]
+        arcs = list(zip(begin.tolist(), end.tolist(), logs[piece].tolist(), strict=True))
+        alpha = _chain(arcs, n)
+        uses = np.zeros(len(logs))
+        if expect:
+            beta = _chain([(n - b, n - a, p) for a, b, p in reversed(arcs)], n)[::-1]
+            alpha_, beta_ = np.array(alpha), np.array(beta)
+            uses += np.bincount(piece, np.exp(np.minimum(alpha_[begin] + logs[piece] + beta_[end] - alpha[n], 0)), minlength=len(logs))
+        return alpha[n], uses
+
+
+def _chain(arcs: list[tuple[int, int, float]], n: int) -> list[float]:
+    """Log sums over all ways from place 0 to each place, of arcs that come in an order in which their begins are done."""
+    out = [0.0] + [-math.inf] * n
+    for a, b, p in arcs:
+        x, y = out[a] + p, out[b]
+        if x > y:
+            x, y = y, x
+        out[b] = y + math.log1p(math.exp(x - y)) if x > -math.inf else y
+    return out
+
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSES: list[np.uint64] = [np.uint64(1)]
@@ -182,13 +235,12 @@ def _expect(words: DataFrame, logs: np.ndarray, name: str) -> np.ndarray:
     def run(batches):
         total = np.zeros(len(box.value))
         for batch in batches:
-            got = batch.column(0).to_pylist()
-            total += lattice(name).forward(got, box.value, np.ones(len(got)))[1]
+            total += lattice(name).forward(batch.column(0).to_pylist(), box.value, batch.column(1).to_numpy(zero_copy_only=False).astype(float))[1]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["piece", "n"])
 
     out = np.zeros(len(logs))
-    for r in map_arrow(words.select("word"), run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+    for r in map_arrow(words.select("word", "c"), run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
         out[r.piece] = r.n
     return out
 
@@ -200,10 +252,10 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     blocks = scratch.keep(_blocks(docs, key, text, F.coalesce(train, F.lit(False))))
     words = scratch.keep(blocks.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n_train").alias("c")))
     seen = words.where("c > 0")
-    t = seen.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once")).first()
+    t = seen.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     ends = blocks.where(F.col("word").isNull()).agg(F.sum("n_train")).first()[0] or 0
     total, kinds = (t.n or 0) + ends, t.v + (ends > 0)
-    free = ((t.once or 0) + 1) / (total + 2)
+    stop = (ends + 1) / (total + 2)  # the share of ends among tokens
 
     m = lattice(pieces_of)
     logs = m.start
@@ -215,15 +267,13 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     def rate(batches):
         for batch in batches:
             got, c = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            by_pieces = lattice(pieces_of).forward(got, box.value)[0]
-            with np.errstate(divide="ignore"):
-                whole = np.log(c / max(total, 1)) + np.log1p(-free)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c > 0), pa.array(np.log10((c + 1) / (total + kinds + 1))), pa.array(np.logaddexp(whole, np.log(free) + by_pieces) / np.log(10))], names=["word", "known", "base", "full"])
+            full = lattice(pieces_of).forward(got, box.value)[0] + np.log1p(-stop)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c > 0), pa.array(np.log10((c + 1) / (total + kinds + 1))), pa.array(full / np.log(10))], names=["word", "known", "base", "full"])
 
     rated = map_arrow(words, rate, "word binary, known boolean, base double, full double")
     found = blocks.where(F.col("word").isNotNull()).select("block", "word", "at").join(rated, "word").select("block", "at", "known", "base", "full", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("postings"))
     heads = blocks.where(F.col("word").isNull()).select("block", F.lit(-1).alias("at"), F.lit(False).alias("known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("full"), "docs", "postings")
-    end_base, end_full = np.log10((ends + 1) / (total + kinds + 1)), np.log10((1 - free) * ends / total if ends else 0.5)
+    end_base, end_full = np.log10((ends + 1) / (total + kinds + 1)), np.log10(stop)
 
     def gather(part: pa.Table) -> pa.Table:
         get = lambda c: part.column(c).to_numpy()
