@@ -8,17 +8,22 @@ every state the tokens that its end adds. Its states are compiled when they are
 are dropped and begun anew at a bound, so that memory doesn't grow with the corpus.
 
 Texts are cut into words, words into pieces by the tokenizer's own rule; the transducer runs over all different pieces
-of new words at once, one byte a step; counts of words that a worker has met are looked up. White space resets it, so a text's count is the sum over its words. Pieces
-of over CHUNK bytes are cut; each chunk has a state map, from states it may be entered in to exit state and count, and
-maps compose associatively in a prefix scan.
-
-Null and empty texts have 0 tokens; special strings count as one token each, as the library does by default. Repeated rows are counted each on its own; other columns pass through.
+of new words at once, one byte a step. Words that a task has met keep their counts in a table that compares their
+bytes. White space resets the transducer, so a text's count is the sum over its words. Pieces of over CHUNK bytes are cut;
+each chunk has a state map, from the states that the bytes before it lead to, to exit state and count; all chunks advance
+side by side, and their maps compose in a tree, as a parallel prefix scan does. A map that lacks an entry is run for it
+when it is composed, so the count is exact; maps of all states that may be would have to compile them all.
+
+Null and empty texts have 0 tokens; special strings count as one token each, as the library does by default. Repeated
+rows are counted each on its own, an empty table gives no rows; other columns pass through, whatever their names, but
+for one of the result's own name. A text takes some forty times its bytes while it is counted.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -190,40 +195,67 @@ class Transducer:
         out[order] = total
         return out
 
-    def run(self, state: int, piece: np.ndarray) -> tuple[int, int]:
-        """Exit state and tokens settled by the bytes of a chunk, entered in a state."""
-        count = 0
-        for b, c in zip(piece.tolist(), self.columns(piece).tolist(), strict=True):
-            to = int(self.next[state, c])
-            if to < 0:
-                to = self.link(state, b)
-            count += to & 15
-            state = to >> 4
-        return state, count
-
-    def chunk_map(self, piece: np.ndarray, entries: set[int]) -> dict[int, tuple[int, int]]:
-        return {s: self.run(s, piece) for s in entries}
-
-    def compose(self, first: dict, second: dict, piece: np.ndarray) -> dict[int, tuple[int, int]]:
-        """The map of two neighbouring chunks; an exit that the second was not mapped for is mapped now."""
-        out = {}
-        for s, (mid, n) in first.items():
-            if mid not in second:
-                second[mid] = self.run(mid, piece)
-            out[s] = (second[mid][0], n + second[mid][1])
-        return out
+    def take(self, states: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Transitions of states on inner bytes, compiled where they are new."""
+        column = self.columns(values)
+        to = self.next[states, column]
+        if len(miss := np.flatnonzero(to < 0)):
+            self._compile(states, values, miss, False)
+            to = self.next[states, column]
+        return to
+
+    def advance(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit states and tokens settled by data[begin:end], each entered in a state; all advance together."""
+        states, total = states.astype(np.int64), np.zeros(len(states), np.int64)
+        for k in range(int((end - begin).max(initial=0))):
+            live = np.flatnonzero(begin + k < end)
+            to = self.take(states[live], data[begin[live] + k])
+            total[live] += to & 15
+            states[live] = to >> 4
+        return states, total
+
+    def entries(self, piece: np.ndarray, at: int) -> np.ndarray:
+        """The states that piece[:at] most likely leads to: a start some bytes before it, after which states mostly agree."""
+        begin = np.unique(np.maximum(0, at - np.array([WARM, 2 * WARM])))
+        return np.unique(self.advance(piece, begin, np.full(len(begin), at), np.zeros(len(begin), np.int64))[0])
+
+    def compose(self, piece: np.ndarray, first: "ChunkMap", second: "ChunkMap") -> "ChunkMap":
+        """The map of two neighbouring ranges; exits that the second has no entry for are run over its whole range now."""
+        if len(new := np.setdiff1d(first.exits, second.states)):
+            n = len(new)
+            exits, counts = self.advance(piece, np.full(n, second.begin), np.full(n, second.end), new)
+            order = np.argsort(states := np.append(second.states, new))
+            second = ChunkMap(second.begin, second.end, states[order], np.append(second.exits, exits)[order], np.append(second.counts, counts)[order])
+        at = np.searchsorted(second.states, first.exits)
+        return ChunkMap(first.begin, second.end, first.states, second.exits[at], first.counts + second.counts[at])
+
+    def chunk_maps(self, piece: np.ndarray) -> list["ChunkMap"]:
+        """The maps of all chunks of a piece but for its last byte."""
+        cuts = [*range(0, len(piece) - 1, CHUNK), len(piece) - 1]
+        sets = [self.entries(piece, a) for a in cuts[:-1]]
+        n = [len(x) for x in sets]
+        exits, counts = self.advance(piece, np.repeat(cuts[:-1], n), np.repeat(cuts[1:], n), np.concatenate(sets))
+        at = np.cumsum([0, *n])
+        return [ChunkMap(a, b, x, exits[i:j], counts[i:j]) for a, b, x, i, j in zip(cuts, cuts[1:], sets, at, at[1:], strict=False)]
 
     def scan(self, piece: np.ndarray) -> int:
-        """Count of one long piece: maps of its chunks, entered as after the WARM bytes before, then a prefix scan."""
-        cuts = [*range(0, len(piece) - 1, CHUNK), len(piece) - 1]
-        parts = [piece[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        whole: dict[int, tuple[int, int]] = {0: (0, 0)}
-        for i, part in enumerate(parts):
-            # Every state of a chunk map is reached from the start by reading some bytes, so a guess may only miss.
-            guess = 0 if not i else self.run(0, parts[i - 1][-WARM:])[0]
-            whole = self.compose(whole, self.chunk_map(part, {guess}), part)
-        state, count = whole[0]
-        return count + self.finish(state, int(piece[-1]))
+        """Count of one long piece: its chunks' maps, composed in a tree."""
+        maps = self.chunk_maps(piece)
+        while len(maps) > 1:
+            maps = [self.compose(piece, *maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        at = int(np.searchsorted(maps[0].states, 0))
+        return int(maps[0].counts[at]) + self.finish(int(maps[0].exits[at]), int(piece[-1]))
+
+
+@dataclass
+class ChunkMap:
+    """What reading data[begin:end] does to states (sorted): where they go and how many tokens that settles."""
+
+    begin: int
+    end: int
+    states: np.ndarray
+    exits: np.ndarray
+    counts: np.ndarray
 
 
 class Counter:
