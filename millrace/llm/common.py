@@ -203,10 +203,10 @@ def tidy(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
 
 
-def annotate(df: DataFrame, make, fields: str, into: str, text: str = "text", most: int = 4 << 20) -> DataFrame:
+def annotate(df: DataFrame, make, fields: str, into: str, text: str = "text", most: int = 4 << 20, whole: bool = False) -> DataFrame:
     """df with a struct column `into`, replacing one of that name.
 
-    make() runs once a task and returns a function from a large_string array to the struct's columns, a dict.
+    make() runs once a task and returns a function from a large_string array (and, if `whole`, the batch) to the struct's columns, a dict.
     Every other column passes through as it is, whatever its name.
     """
     from pyspark.sql.pandas.types import to_arrow_type
@@ -220,7 +220,7 @@ def annotate(df: DataFrame, make, fields: str, into: str, text: str = "text", mo
     def run(batches):
         fn = make()
         for batch in pieces(batches, text, most):
-            got = fn(texts(batch, text))
+            got = fn(texts(batch, text), batch) if whole else fn(texts(batch, text))
             made = pa.StructArray.from_arrays([x.cast(f.type) if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in kind], fields=list(kind))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, into])
 
