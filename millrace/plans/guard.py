@@ -5,6 +5,7 @@ Everything unknown is refused: columns without a grade, plan nodes without a rul
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .joins import JoinGraph
 from .lineage import facts
+from .statement import clause, text, tokens
 
 GRADES = ("public", "internal", "masked", "forbidden")
 #: Functions that reach outside a query or tell about the session.
@@ -94,6 +96,85 @@ def split_statements(sql: str) -> list[str]:
     return [s.strip() for s in [*out, sql[at:]] if s.strip()]
 
 
+_WHEN = re.compile(r"\s*(?:(?P<op>==|!=)|(?P<word>and|or|not)\b|(?:ctx\.)?(?P<name>[A-Za-z_]\w*)|'(?P<one>[^']*)'|\"(?P<two>[^\"]*)\"|(?P<num>-?\d+(?:\.\d+)?))", re.I)
+
+
+def holds(when: str, context: dict) -> bool:
+    """Whether a row policy applies: names of the context, == and != with literals, and, or, not, from left to right.
+
+    Without a condition a policy always applies; a condition that isn't understood is refused.
+    """
+    found, at = [], 0
+    while at < len(when.rstrip()):
+        m = _WHEN.match(when, at)
+        if not m:
+            raise ValueError(f"condition not understood: {when}")
+        found.append((m.lastgroup, m[m.lastgroup]))
+        at = m.end()
+    if not found:
+        return True
+    out, join, negate, i = None, "and", False, 0
+    while i < len(found):
+        kind, value = found[i]
+        if kind == "word":
+            if value.lower() == "not":
+                negate = not negate
+            elif out is None or i + 1 == len(found):
+                raise ValueError(f"condition not understood: {when}")
+            else:
+                join = value.lower()
+            i += 1
+            continue
+        if kind != "name":
+            raise ValueError(f"condition not understood: {when}")
+        got = context.get(value)
+        if i + 1 < len(found) and found[i + 1][0] == "op":
+            if i + 2 >= len(found) or found[i + 2][0] not in ("one", "two", "num"):
+                raise ValueError(f"condition not understood: {when}")
+            one = (str(got) == found[i + 2][1]) == (found[i + 1][1] == "==")
+            i += 3
+        else:
+            one, i = got not in (None, "", False, 0), i + 1
+        one, negate = one != negate, False
+        out = one if out is None else (out and one) if join == "and" else (out or one)
+    return bool(out)
+
+
+def with_least_groups(sql: str, k: int) -> str:
+    """The statement with HAVING count(*) >= k on its outermost grouping; whatever HAVING it has is kept."""
+    parts = tokens(sql)
+    at = clause(parts, "group")
+    if at < 0:
+        return sql
+    having = clause(parts, "having", at)
+    stop = next((p for p in (clause(parts, w, at) for w in ("window", "qualify", "union", "intersect", "except", "order", "limit")) if p >= 0), len(parts))
+    if having >= 0:
+        return f"{text(parts[:having])}HAVING ({text(parts[having + 1 : stop]).strip()}) AND count(*) >= {k} {text(parts[stop:])}".strip()
+    return f"{text(parts[:stop]).rstrip()} HAVING count(*) >= {k} {text(parts[stop:])}".strip()
+
+
+def load_policy(path: str) -> Policy:
+    """A policy document (JSON, or YAML where that is installed): columns, masks, row_policies, k_anonymity, limits.
+
+    Columns that it doesn't name are forbidden; grades and limits that it misspells are refused.
+    """
+    with open(path, encoding="utf-8") as f:
+        raw = f.read()
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        doc = yaml.safe_load(raw)
+    else:
+        doc = json.loads(raw)
+    grades = {k.lower(): v for k, v in (doc.get("columns") or {}).items()}
+    if bad := {v for v in grades.values() if v not in GRADES}:
+        raise ValueError(f"unknown grades: {sorted(bad)}")
+    k, limits = doc.get("k_anonymity") or {}, doc.get("limits") or {}
+    if bad := set(limits) - {"limit", "cap", "width"}:
+        raise ValueError(f"unknown limits: {sorted(bad)}")
+    return Policy(grades, {x.lower(): v for x, v in (doc.get("masks") or {}).items()}, [RowPolicy(**r) for r in doc.get("row_policies") or []], frozenset(k.get("tables") or ()), int(k.get("k") or 0), **limits)
+
+
 class Guard:
     def __init__(self, spark: SparkSession, folder: str, policy: Policy, context: dict | None = None, tables: tuple[str, ...] = ()):
         self.spark, self.policy, self.context, self.graph = spark.newSession(), policy, context or {}, JoinGraph()
@@ -104,11 +185,7 @@ class Guard:
     # --- rows
 
     def _holds(self, when: str) -> bool:
-        """Whether the context has all named values; anything but names joined by 'and' is refused."""
-        words = when.split()
-        if any(w == "and" if i % 2 == 0 else w != "and" for i, w in enumerate(words)) or any(not re.fullmatch(r"\w+", w) for w in words):
-            raise ValueError(f"condition not understood: {when}")
-        return all(self.context.get(w) not in (None, "") for w in words[::2])
+        return holds(when, self.context)
 
     def _predicate(self, p: RowPolicy) -> Column:
         quoted = {k: "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'" for k, v in self.context.items()}
@@ -172,8 +249,8 @@ class Guard:
             say("PLAN_UNKNOWN", "block", node)
         for name in sorted(f.functions & DENIED):
             say("FUNCTION_FORBIDDEN", "block", name)
-        if f.leaves > self.policy.width:
-            say("TOO_MANY_JOINS", "block", str(f.leaves))
+        if len(f.tables) > self.policy.width:
+            say("TOO_MANY_JOINS", "block", str(len(f.tables)))
         if f.cartesian:
             say("CARTESIAN_JOIN", "error", str(f.cartesian))
         for columns, where in f.uses:
@@ -200,7 +277,7 @@ class Guard:
             else:
                 outputs.append(F.col(f"`{name}`"))
         for below, least in f.groupings:
-            if self.policy.k and below & self.policy.k_tables and not (least and (m := re.search(r">= (?:cast\()?(\d+)", str(least))) and int(m[1]) >= self.policy.k):
+            if self.policy.k and below & self.policy.k_tables and least < self.policy.k:
                 say("K_ANONYMITY", "block", ", ".join(sorted(below & self.policy.k_tables)))
         if v.allowed:
             got = df.select(*outputs)
@@ -220,8 +297,19 @@ class Guard:
             df = self.spark.sql(split_statements(sql)[0])
         except Exception as e:
             code = {"TABLE_OR_VIEW_NOT_FOUND": "UNKNOWN_TABLE", "UNRESOLVED_COLUMN": "UNKNOWN_COLUMN", "AMBIGUOUS_REFERENCE": "AMBIGUOUS_COLUMN", "MISSING_AGGREGATION": "GROUPBY_MISMATCH", "MISSING_GROUP_BY": "GROUPBY_MISMATCH"}
-            return Verdict([(next((c for k, c in code.items() if k in str(e)), "SQL_ANALYSIS"), "error", str(e).split("\n")[0][:80])])
-        return self.inspect(df)
+            return Verdict([(next((c for k, c in code.items() if k in str(e)), "SQL_ANALYSIS"), "error", str(e).split("\n")[0][:200])])
+        v = self.inspect(df)
+        if {c for c, s, _ in v.violations if s in ("block", "error")} == {"K_ANONYMITY"}:
+            # Small groups are cut off instead, if the statement then provably has none.
+            new = with_least_groups(split_statements(sql)[0], self.policy.k)
+            try:
+                again = self.inspect(self.spark.sql(new))
+            except Exception:
+                return v
+            if again.allowed:
+                again.rewrites.append(f"having:{self.policy.k}")
+                return again
+        return v
 
 
 def k_anonymous(grouped_counted: DataFrame, k: int, count: str = "cnt") -> DataFrame:

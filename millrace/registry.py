@@ -40,5 +40,5 @@ def query(sql: str | None = None, name: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from .operators import curation, evaluation, governance, profiling, relational, retrieval  # noqa: F401
+    from .operators import curation, evaluation, governance, profiling, relational, retrieval, understanding  # noqa: F401
     from .streaming import events  # noqa: F401

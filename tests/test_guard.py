@@ -46,7 +46,8 @@ def test_other_codes(t):
     assert "PII_EXPRESSION" in codes(t, "SELECT upper(c_name) FROM customer")
     assert "PII_PREDICATE" in codes(t, "SELECT c_name, count(*) FROM customer GROUP BY c_name")
     assert "INTERNAL_ROWLEVEL" in codes(t, "SELECT c_acctbal FROM customer")
-    assert "K_ANONYMITY" in codes(t, "SELECT c_nationkey, count(*) FROM customer GROUP BY c_nationkey")
+    assert "K_ANONYMITY" in codes(t, "SELECT DISTINCT c_nationkey FROM customer")
+    assert "K_ANONYMITY" in codes(t, "SELECT n FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey)")
     assert not codes(t, "SELECT ';' AS x, n_name FROM nation -- ; no more")
 
 
@@ -65,7 +66,7 @@ def test_a_condition_that_is_not_understood_is_refused(t):
     from millrace.plans.guard import RowPolicy
 
     with pytest.raises(ValueError):
-        guard(t, rows=[RowPolicy("x", "customer", "1 = 1", "a == 1")])
+        guard(t, rows=[RowPolicy("x", "customer", "1 = 1", "a == b")])
 
 
 def test_statements_and_names():
@@ -86,3 +87,32 @@ def test_stream_equals_batch(spark, tmp_path):
     all_rows = {tuple(r) for r in hourly_counts(spark.read.parquet(src)).collect()}
     last = max(r[0] for r in all_rows)
     assert got <= all_rows and {r for r in all_rows - got} <= {r for r in all_rows if r[0] >= min(x[0] for x in all_rows - got)} and last
+
+
+@pytest.mark.parametrize("having", ["", " HAVING sum(c_custkey) >= 5", " HAVING count(*) >= 5 OR true", " HAVING count(DISTINCT c_custkey) >= 5", " HAVING count(*) FILTER (WHERE false) >= 0"])
+def test_small_groups_are_cut_off_whatever_the_having(t, having):
+    v = guard(t).check(f"SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey{having} ORDER BY n")
+    assert v.allowed and "having:5" in v.rewrites and all(r.n >= 5 for r in v.result.collect())
+
+
+def test_policy_document(t, tmp_path):
+    from millrace.plans.guard import load_policy
+
+    path = tmp_path / "policy.json"
+    path.write_text('{"columns": {"nation.n_name": "public"}, "k_anonymity": {"tables": ["nation"], "k": 3}, "limits": {"limit": 7}, "row_policies": [{"name": "a", "table": "nation", "predicate": "n_regionkey = {r}", "when": "ctx.r"}]}')
+    p = load_policy(str(path))
+    assert (p.grade("nation", "n_name"), p.grade("nation", "n_regionkey"), p.k, p.limit, p.rows[0].when) == ("public", "forbidden", 3, 7, "ctx.r")
+    assert p.narrowed(limit=100).limit == 7 and p.narrowed(limit=2).limit == 2
+    path.write_text('{"columns": {"nation.n_name": "pubic"}}')
+    with pytest.raises(ValueError):
+        load_policy(str(path))
+
+
+def test_blocks_are_not_repaired(t):
+    from millrace.operators import governance
+    from millrace.plans.repair import Catalog, repair
+
+    g = guard(t)
+    done = repair(g, "SELECT s_name FROM supplier WHERE s_acctbal > 0", Catalog(governance.COLUMNS, JoinGraph()))
+    assert not done.verdict.allowed and not done.applied
+    assert not repair(g, "SELECT n_nam FROM nation", Catalog(governance.COLUMNS, JoinGraph()), budget=0).applied
