@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,8 +87,14 @@ def near_links(x: DataFrame, least: float) -> DataFrame:
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the cluster's shared folder if spark.checkpoint.dir names one."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+    """df without its lineage, in the folder that spark.checkpoint.dir names; one of the driver's own in local mode."""
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        sc = df.sparkSession.sparkContext
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-checkpoints-"))
+    return df.checkpoint()
 
 
 def keep_first(x: DataFrame, least: float) -> DataFrame:
@@ -108,8 +116,8 @@ def keep_first(x: DataFrame, least: float) -> DataFrame:
 
 
 @query()
-def dedup_near_trigram(t, least: float = 0.92, block: int = 500):
-    """Keep-first near duplicates of user turns, whatever their length and opening; `block` has no effect."""
+def dedup_near_trigram(t, least: float = 0.92):
+    """Keep-first near duplicates of user turns, whatever their length and opening."""
     return keep_first(shaped(t).where("role = 'user'").select("id", "role", "shape"), least)
 
 

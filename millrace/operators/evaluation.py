@@ -50,19 +50,6 @@ def vote_agreement(t):
     return candidates(t).groupBy("sig").agg(F.count(F.lit(1)).alias("votes")).agg(F.round(F.max("votes") / F.sum("votes"), 4).alias("agreement"))
 
 
-def multiset_equal(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Whether two results have the same rows as often: one shuffle, no row order."""
-    cols = a.columns
-    both = a.withColumn("_d", F.lit(1)).unionAll(b.toDF(*cols).withColumn("_d", F.lit(-1)))
-    return both.groupBy(*cols).agg(F.sum("_d").alias("_s")).where("_s <> 0").agg((F.count(F.lit(1)) == 0).alias("equal"))
-
-
-@query("SELECT * FROM (VALUES (true)) AS v(equal)")
-def result_multiset_equal(t):
-    a = t.orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-    return multiset_equal(a, t.orders.withColumn("x", F.lit(1)).groupBy("o_orderstatus").agg(F.sum("x")))
-
-
 @query(f"SELECT lang, round(avg(least(1.0, sqrt(0.25 / p))), 6) AS ves FROM {_PRED} GROUP BY 1")
 def ves_score(t):
     return predictions(t).groupBy("lang").agg(F.round(F.avg(F.least(F.lit(1.0), F.sqrt(0.25 / F.col("p")))), 6).alias("ves"))
@@ -75,10 +62,12 @@ def nearest_rank(values, q: float):
 
 @query(f"WITH x AS (SELECT lang, y, p, row_number() OVER (PARTITION BY lang ORDER BY p) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM {_PRED}) SELECT lang, round(avg(y), 6) AS rate, max(CASE WHEN i = CAST(round_even(0.5 * (n - 1), 0) AS BIGINT) THEN p END) AS p50, max(CASE WHEN i = CAST(round_even(0.95 * (n - 1), 0) AS BIGINT) THEN p END) AS p95 FROM x GROUP BY lang")
 def eval_aggregate(t):
+    """Rates and nearest-rank percentiles from counts by value, so the window sees different values and not rows."""
     w = Window.partitionBy("lang")
-    x = predictions(t).withColumn("i", F.row_number().over(w.orderBy("p")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    at = lambda q: F.max(F.when(F.col("i") == F.bround(F.lit(q) * (F.col("n") - 1), 0).cast("bigint"), F.col("p")))
-    return x.groupBy("lang").agg(F.round(F.avg("y"), 6).alias("rate"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    x = predictions(t).groupBy("lang", "p").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("s"))
+    x = x.withColumn("upto", F.sum("c").over(w.orderBy("p"))).withColumn("n", F.sum("c").over(w))
+    at = lambda q: F.min(F.when(F.col("upto") > F.bround(F.lit(q) * (F.col("n") - 1), 0).cast("bigint"), F.col("p")))
+    return x.groupBy("lang").agg(F.round(F.sum("s") / F.sum("c"), 6).alias("rate"), at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
 @query(f"SELECT tag, count(*) AS n, round(avg(y), 6) AS rate FROM (SELECT y, unnest([lang, source]) AS tag FROM {_PRED}) GROUP BY 1 HAVING count(*) >= 3")

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import top_rows
 from ..functions.scalars import d8, nice_threshold, parse_d8, quarter_of
 from ..registry import Tables, query
 
@@ -364,8 +365,8 @@ def trend_chronological(t):
 @query("SELECT id, amt FROM (SELECT o_custkey AS id, round(sum(o_totalprice), 2) AS amt, row_number() OVER (ORDER BY round(sum(o_totalprice), 2) DESC, o_custkey) AS r, count(*) OVER () AS n FROM orders GROUP BY o_custkey) WHERE r <= floor(n * 0.1)")
 def top_percent(t):
     g = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.round(F.sum("o_totalprice"), 2).alias("amt"))
-    # The cut is a scalar: sort and take that many, with no window over all rows.
-    return g.orderBy(F.desc("amt"), "id").limit(int(g.count() * 0.1))
+    # The cut is found by counting cents; only the rows at the cut are ranked.
+    return top_rows(g, F.round(F.col("amt") * 100).cast("bigint"), int(g.count() * 0.1), "id")
 
 
 @query(f"SELECT round(avg(date_diff('day', strptime({D8}, '%Y%m%d'), strptime({S8}, '%Y%m%d'))), 4) AS val FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
