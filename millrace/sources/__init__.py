@@ -1 +1 @@
-
+"""Records in and out."""
