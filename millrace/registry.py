@@ -40,5 +40,5 @@ def query(sql: str | None = None, name: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from .operators import comparison, curation, evaluation, governance, linking, profiling, relational, retrieval, routing, understanding  # noqa: F401
+    from .operators import comparison, corpus, curation, evaluation, governance, linking, profiling, relational, retrieval, routing, understanding  # noqa: F401
     from .streaming import events  # noqa: F401
