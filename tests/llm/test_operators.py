@@ -51,7 +51,7 @@ def test_sql_queries(spark):
 
 
 def test_licenses(spark, docs, empty):
-    known = licenses.known_digests(spark, licenses.LICENSES)
+    known = licenses.all_digests(spark)
     got = {r.doc_id: r.license_id for r in licenses.scan(docs, known).collect()}
     assert {k for k, v in got.items() if v} == {13} and got[13] == "MIT"
     assert licenses.notices(empty, licenses.NOTICES).count() == 0
@@ -59,6 +59,24 @@ def test_licenses(spark, docs, empty):
     assert licenses.notices(one, licenses.NOTICES).first().notice_ids == "MIT"
 
 
+def test_licences_are_found_however_wrapped(spark):
+    import os
+    import textwrap
+
+    head = "The MIT License (MIT)\n\nCopyright (c) 2020 Some One\n(c) 2021 Another\n\n"
+    texts = [head + "\n\n".join(textwrap.fill(p, w) for p in licenses.MIT.split("\n\n")) for w in (61, 62, 72, 80, 81, 82, 200)]
+    texts += [head + licenses.MIT + " and more"]
+    got = [r.license_id for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), licenses.all_digests(spark)).orderBy("i").collect()]
+    assert got == ["MIT"] * 7 + [None]
+    folder = "/usr/share/common-licenses"
+    if os.path.exists(f"{folder}/GPL-3"):
+        with open(f"{folder}/GPL-3") as f:
+            assert licenses.scan(spark.createDataFrame([(f.read(),)], "text string"), licenses.all_digests(spark)).first().license_id == "GPL-3.0"
+    # No bound on a line, and none on what a notice says.
+    long = spark.createDataFrame([("x\n" + "*" * 3000 + " Dual use, public DOMAIN " + "-" * 3000,)], "text string")
+    assert licenses.notices(long, [("X", "Dual use, public domain")]).first().notice_ids == "X"
+
+
 def test_shards(docs, empty):
     from pyspark.sql import functions as F
 
