@@ -125,9 +125,11 @@ def balanced(df: DataFrame, stratum: str, cover: str, key: str, target: dict[str
     """At most so many rows of each stratum, first one of every cover, then the second, in the order of a hash of the key."""
     h = F.sha2(F.col(key).cast("string"), 256)
     turn = F.row_number().over(Window.partitionBy(stratum, cover).orderBy(h, key))
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy("_turn", h, key))  # with the bound, a group-limited window
-    most = F.create_map(*[F.lit(x) for kv in target.items() for x in kv])
-    return df.withColumn("_turn", turn).withColumn("_place", place).where(F.col("_place") <= F.coalesce(F.try_element_at(most, F.col(stratum)), F.lit(0))).drop("_turn", "_place")
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy("_turn", h, key))
+    most, bound = F.create_map(*[F.lit(x) for kv in target.items() for x in kv]), max(target.values())
+    # Both windows are cut at a constant, which Spark does in each task before rows meet by stratum.
+    some = df.where(F.col(stratum).isin(list(target))).withColumn("_turn", turn).where(F.col("_turn") <= bound)
+    return some.withColumn("_place", place).where((F.col("_place") <= bound) & (F.col("_place") <= F.try_element_at(most, F.col(stratum)))).drop("_turn", "_place")
 
 
 _TARGET = {"en": 100, "de": 40, "fr": 40, "es": 20}
