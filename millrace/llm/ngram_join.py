@@ -422,9 +422,12 @@ def _met(roots: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _bucket_pairs(buckets: DataFrame, reps: DataFrame, comps: DataFrame, docs: DataFrame, scratch: Scratch, nearest: bool) -> DataFrame:
     """Candidate pairs of documents of one bucket and of different components; all, or the likeliest of each document."""
-    known = buckets.select("g", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = known.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1").select("g", "m")
-    rows = scratch.keep(known.join(mixed, "g").select(F.col("g").alias("h"), "id", "comp", "m"))
+    known = buckets.select("g", "id").join(reps.select("id", _size_class(F.col("low")).alias("x"), _size_class(F.col("n")).alias("y")), "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    # Only who has a document of like size and of another component beside it in the bucket goes on; others need no bitmap.
+    around = known.select("g", F.explode(F.sequence(F.col("x") - 1, F.col("y") + 1)).alias("class"), "comp").groupBy("g", "class").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("g", "class")
+    some = known.select("g", "id", "comp", F.explode(F.sequence("x", "y")).alias("class")).join(around, ["g", "class"], "left_semi").select("g", "id", "comp").distinct()
+    some = scratch.keep(some)
+    rows = scratch.keep(some.join(some.groupBy("g").agg(F.count(F.lit(1)).alias("m")), "g").select(F.col("g").alias("h"), "id", "comp", "m"))
     ids = scratch.keep(rows.select("id").distinct())
     signed = scratch.keep(_signed(_some(docs, ids).join(reps.select("id"), "id", "left_semi")))
     rows = rows.join(signed.hint("merge"), "id")
@@ -434,7 +437,7 @@ def _bucket_pairs(buckets: DataFrame, reps: DataFrame, comps: DataFrame, docs: D
         dealt = scratch.keep(_blocks(rows.where(F.col("m") > BLOCK)))
         found.append(_search(_met(scratch.keep(_roots(dealt)), dealt), nearest))
     out = scratch.keep(found[0] if len(found) == 1 else found[0].unionByName(found[1]).distinct())
-    scratch.free(signed, ids)
+    scratch.free(signed, ids, some)
     return out
 
 
@@ -449,8 +452,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = profile.where(F.col("h").isNull()).select("id", "n", "key")
     classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("key", "n").agg(F.min("id").alias("rep"))
     # A document is represented by the least one of its class; one whose rows differ is itself, and linked with the classes of all.
-    reps = rows.where("n > 0 AND id IS NOT NULL").join(classes, ["key", "n"]).groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.max("n").alias("n"))
-    reps = scratch.keep(reps.select("id", "n", "a", "z", F.when(F.col("a") == F.col("z"), F.col("a")).otherwise(F.col("id")).alias("rep")))
+    reps = rows.where("n > 0 AND id IS NOT NULL").join(classes, ["key", "n"]).groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.min("n").alias("low"), F.max("n").alias("n"))
+    reps = scratch.keep(reps.select("id", "low", "n", "a", "z", F.when(F.col("a") == F.col("z"), F.col("a")).otherwise(F.col("id")).alias("rep")))
     several = rows.where("n > 0 AND id IS NOT NULL").join(classes, ["key", "n"]).join(reps.where("a <> z").select("id"), "id", "left_semi")
     same = several.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     buckets = _buckets(docs, often["h"].to_numpy(np.int64).view(np.uint64), level, reps, scratch)
