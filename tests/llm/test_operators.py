@@ -415,3 +415,42 @@ def test_pipeline(spark):
     assert 0 < len({r.doc_id for r in rows}) < docs.count() and len(corpus_pipeline.STAGES) == 5
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_clashing_names_pass_through(spark, docs):
+    """Columns named as the operators' own pass through, and repeated rows are handled each."""
+    names = ["_low", "_high", "_lang", "_quality", "_toxicity", "_keep", "_leak", "_leak_0", "_l", "_d", "_found", "l", "d", "m"]
+    odd = docs
+    for n in names:
+        from pyspark.sql import functions as F
+
+        odd = odd.withColumn(n, F.lit("mine"))
+    bench = spark.createDataFrame([(1, " ".join(BASE.split()[20:34]))], "item_id bigint, text string")
+    labels = spark.createDataFrame([], "doc_id bigint, toxic int")
+    for got in (quality.keep_good(odd), toxicity.remove_toxic(odd, labels), ngram_join.keep_one(odd), winnow.remove_leaked(odd, bench)):
+        assert got.columns == odd.columns and all(r[n] == "mine" for r in got.collect() for n in names)
+    assert quality.judge(odd).count() == toxicity.score(odd, toxicity.Model()).count() == winnow.mark_leaks(odd, bench).count() == odd.count()
+
+
+def test_equal_texts_get_equal_scores(spark, docs):
+    got = toxicity.score(docs, toxicity.train(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))).collect()
+    by = defaultdict(set)
+    for r in got:
+        by[r.text or ""].add(r.toxicity.score)
+    assert len(got) == docs.count() and all(len(v) == 1 for v in by.values())
+
+
+def test_pipeline_of_odd_tables(spark, docs, empty, tmp_path):
+    """Nulls, empty and repeated texts go through all stages; an empty table gives no rows."""
+    import corpus_pipeline
+
+    some = spark.read.parquet(f"{SF}/documents.parquet")
+    for n in ("benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{n}.parquet").write.parquet(f"{tmp_path}/{n}.parquet")
+    odd = some.unionByName(spark.createDataFrame([(None, "a null id"), (-1, None), (-2, ""), (-3, "word"), (-4, "z" * 3000)], "doc_id bigint, text string"), allowMissingColumns=True).unionByName(some.limit(5))
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = corpus_pipeline.run(spark, SF).select("doc_id").distinct().count()
+    assert abs(len({r.doc_id for r in rows}) - want) <= 3 and not {r.doc_id for r in rows} & {-1, -2, -3, -4}
+    some.where("false").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
