@@ -164,7 +164,8 @@ def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
     tries = np.unique(s)
     f1 = [2 * weight[(s >= c) & (y == 1)].sum() / (weight[s >= c].sum() + weight[y == 1].sum()) for c in tries]
     best = int(np.argmax(f1))
-    model.cut = float((tries[best] + tries[max(best - 1, 0)]) / 2)
+    # A text in which the toxic dictionary saves nothing stays below the threshold, whatever few rows may say.
+    model.cut = max(float((tries[best] + tries[max(best - 1, 0)]) / 2), float(model.logit(np.zeros((1, 4)))[0]) + 1e-3)
     return model
 
 

@@ -432,6 +432,12 @@ def test_clashing_names_pass_through(spark, docs):
     assert quality.judge(odd).count() == toxicity.score(odd, toxicity.Model()).count() == winnow.mark_leaks(odd, bench).count() == odd.count()
 
 
+def test_few_labels_call_nothing_toxic_that_saves_nothing(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    got = [r.toxicity.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()]
+    assert sum(x >= toxicity.THRESHOLD for x in got) < len(got) / 4
+
+
 def test_equal_texts_get_equal_scores(spark, docs):
     got = toxicity.score(docs, toxicity.train(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))).collect()
     by = defaultdict(set)
