@@ -429,7 +429,7 @@ def _bucket_pairs(buckets: DataFrame, reps: DataFrame, comps: DataFrame, docs: D
     some = scratch.keep(some)
     rows = scratch.keep(some.join(some.groupBy("g").agg(F.count(F.lit(1)).alias("m")), "g").select(F.col("g").alias("h"), "id", "comp", "m"))
     ids = scratch.keep(rows.select("id").distinct())
-    signed = scratch.keep(_signed(_some(docs, ids).join(reps.select("id"), "id", "left_semi")))
+    signed = scratch.keep(_signed(_some(docs, ids)))
     rows = rows.join(signed.hint("merge"), "id")
     small = rows.where(F.col("m") <= BLOCK).select("h", F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j"), F.lit(0).alias("side"), "id", "n", "comp", "bits")
     found = [_search(small, nearest)]
