@@ -170,17 +170,18 @@ def mark_leaks(docs: DataFrame, bench: DataFrame, into: str = "leak", text: str
         met = _met_in_tasks(some, known, sizes) if sizes else None
     else:
         met = _met_by_join(some, prints, sizes)
-    d, found, struct = fresh(docs.withColumn(into, F.lit(0)), "_d", "_found", "_struct")
-    n_words = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_words")
+    d, found, struct, size = fresh(docs.withColumn(into, F.lit(0)), "_d", "_found", "_struct", "_size")
+    n_words = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
     none = F.from_json(F.lit("[]"), "array<struct<start_word:bigint,end_word:bigint,start_byte:bigint,end_byte:bigint>>")
     out = docs.drop(into) if into in docs.columns else docs
     if met is None:
-        return out.withColumn(into, F.struct(n_words, none.alias("spans"), F.array().cast("array<string>").alias("items")))
+        return out.withColumn(into, F.struct(n_words.alias("n_words"), none.alias("spans"), F.array().cast("array<string>").alias("items")))
     met = scratch.keep(met.distinct())
     spans = scratch.keep(_spans(met.join(windows, ["n", "words"]).select("d", "n", "at", "start_byte", "end_byte", "item")))
-    marked = out.withColumn(d, digest).join(spans.select(F.col("d").alias(found), F.struct("spans", "items").alias(struct)), F.col(d) == F.col(found), "left")
+    # Words are counted before the join, so that the text is not shuffled for a result that has no text.
+    marked = docs.withColumn(d, digest).withColumn(size, n_words).select(*[f"`{c}`" for c in out.columns], d, size).join(spans.select(F.col("d").alias(found), F.struct("spans", "items").alias(struct)), F.col(d) == F.col(found), "left")
     scratch.free(windows, met)
-    return marked.withColumn(into, F.struct(n_words, F.coalesce(F.col(f"{struct}.spans"), none).alias("spans"), F.coalesce(F.col(f"{struct}.items"), F.array().cast("array<string>")).alias("items"))).drop(d, found, struct)
+    return marked.withColumn(into, F.struct(F.col(size).alias("n_words"), F.coalesce(F.col(f"{struct}.spans"), none).alias("spans"), F.coalesce(F.col(f"{struct}.items"), F.array().cast("array<string>")).alias("items"))).drop(d, found, struct, size)
 
 
 def remove_leaked(docs: DataFrame, bench: DataFrame) -> DataFrame:

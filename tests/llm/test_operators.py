@@ -460,3 +460,25 @@ def test_pipeline_of_odd_tables(spark, docs, empty, tmp_path):
     assert abs(len({r.doc_id for r in rows}) - want) <= 3 and not {r.doc_id for r in rows} & {-1, -2, -3, -4}
     some.where("false").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_leaks_are_joined_without_texts(spark, tmp_path):
+    """However large the hits are, the texts of the corpus are not shuffled to meet them."""
+    spark.createDataFrame([(i, BASE) for i in range(5)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, BASE)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = winnow.op3(spark, str(tmp_path))
+        plan = [out._jdf.queryExecution().sparkPlan()]
+        sides = []
+        while plan:
+            node = plan.pop()
+            below = [node.children().apply(i) for i in range(node.children().size())]
+            if "Join" in node.getClass().getSimpleName():
+                sides += [x.output().mkString(",") for x in below]
+            plan += below
+        assert len(sides) == 2 and not any("text" in x for x in sides)
+        assert all(r.contaminated and r.n_words == r.n_hit for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
