@@ -482,3 +482,31 @@ def test_leaks_are_joined_without_texts(spark, tmp_path):
         assert all(r.contaminated and r.n_words == r.n_hit for r in out.collect())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_word_table_keeps_words_met_again(monkeypatch):
+    from millrace.llm import wordcache
+
+    monkeypatch.setattr(wordcache, "MOST", 4)
+    made = []
+
+    def make(words):
+        made.append(words.to_pylist())
+        n = np.array([len(x) % 3 for x in made[-1]], np.int64)
+        return np.concatenate([np.zeros(0, np.uint32), *(np.full(k, ord(x[0]), np.uint32) for k, x in zip(n, made[-1], strict=True))]), n
+
+    table, long = wordcache.WordTable(make), "x" * 100
+    for texts, new in ((["a bb ccc bb dddd", f"{long} eeeee {long}"], {"a", "bb", "ccc", "dddd", "eeeee", long}), ([f"bb {long} f a", long[1:] + "y"], {"f", "a", long[1:] + "y"})):
+        made.clear()
+        values, first = table.all_values(quality.pa.array(texts, quality.pa.large_string()))
+        want = [[ord(w[0]) for w in t.split() for _ in range(len(w) % 3)] for t in texts]
+        assert values.tolist() == sum(want, []) and first.tolist() == [0, len(want[0]), len(want[0]) + len(want[1])]
+        assert set(sum(made, [])) == new and sum(map(len, made)) == len(new)
+
+
+def test_plain_words_have_the_library_s_ids():
+    from millrace.llm import token_ids
+
+    texts = ["It's I'LL don't''S 'Tis ROCK'N'ROLL a1b22,c..d!", "ÀÉÎ õüß ÿÞæ naïve's Ça×÷ Öl-1990 Straße", "x", "", "«à» <|a|> <a|b> ſs 'ſ Ǆ ﬁ é", "ab" * 60 + "é." * 40]
+    got, first = token_ids.encode(quality.pa.array(texts, quality.pa.large_string()))
+    assert [got[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == tokens(texts)
