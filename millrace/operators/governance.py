@@ -210,13 +210,13 @@ def row_policy_propagated(t):
 @query("SELECT c_nationkey, c_mktsegment, count(*) AS cnt FROM customer GROUP BY 1, 2 HAVING count(*) >= 12")
 def k_anonymity(t):
     """The guard appends the least group size itself."""
-    return guard(t, k=12, limit=100_000, cap=100_000).check("SELECT c_nationkey, c_mktsegment, count(*) AS cnt FROM customer GROUP BY c_nationkey, c_mktsegment").result
+    return guard(t, k=12, limit=None, cap=None).check("SELECT c_nationkey, c_mktsegment, count(*) AS cnt FROM customer GROUP BY c_nationkey, c_mktsegment").result
 
 
 @query("SELECT c_nationkey, c_mktsegment, count(*) AS cnt FROM customer GROUP BY 1, 2 HAVING count(*) >= 12 AND (sum(c_custkey) >= 5 OR true)")
 def k_anonymity_with_having(t):
     """A HAVING of the statement doesn't stand in for the least group size."""
-    return guard(t, k=12, limit=100_000, cap=100_000).check("SELECT c_nationkey, c_mktsegment, count(*) AS cnt FROM customer GROUP BY c_nationkey, c_mktsegment HAVING sum(c_custkey) >= 5 OR true").result
+    return guard(t, k=12, limit=None, cap=None).check("SELECT c_nationkey, c_mktsegment, count(*) AS cnt FROM customer GROUP BY c_nationkey, c_mktsegment HAVING sum(c_custkey) >= 5 OR true").result
 
 
 #: Conditions of row policies, the context they meet, and whether the policy applies (n/a: refused).
@@ -272,8 +272,8 @@ def silent_mismatch_check(t):
 
 
 def _repaired(t, sql: str, **changes) -> DataFrame:
-    """The rows of a statement after repair; orders has its date as eight digits too."""
-    g = guard(t, grades=GRADES | {"orders.order_dt": "public"}, limit=100_000, cap=100_000, k=0, **changes)
+    """All rows of a statement after repair; orders has its date as eight digits too."""
+    g = guard(t, grades=GRADES | {"orders.order_dt": "public"}, limit=None, cap=None, k=0, **changes)
     g.spark.table("orders").withColumn("order_dt", F.date_format("o_orderdate", "yyyyMMdd")).createOrReplaceTempView("orders")
     cat = Catalog({n: [*COLUMNS[n], *(["order_dt"] if n == "orders" else [])] for n in COLUMNS}, JoinGraph(), _KNOWN)
     done = repair(g, sql, cat)

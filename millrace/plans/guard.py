@@ -37,8 +37,8 @@ class Policy:
     rows: list[RowPolicy] = field(default_factory=list)
     k_tables: frozenset = frozenset()
     k: int = 0
-    limit: int = 200
-    cap: int = 500
+    limit: int | None = 200  # rows of a statement without a limit of its own; None: all
+    cap: int | None = 500  # rows of any other
     width: int = 8
 
     def grade(self, table: str, column: str) -> str:
@@ -46,7 +46,7 @@ class Policy:
 
     def narrowed(self, limit: int | None = None, cap: int | None = None) -> "Policy":
         """A configuration may tighten limits, never loosen them."""
-        return Policy(self.grades, self.masks, self.rows, self.k_tables, self.k, min(self.limit, limit or self.limit), min(self.cap, cap or self.cap), self.width)
+        return Policy(self.grades, self.masks, self.rows, self.k_tables, self.k, *(mine if not new else new if mine is None else min(mine, new) for mine, new in ((self.limit, limit), (self.cap, cap))), self.width)
 
 
 @dataclass
@@ -172,6 +172,8 @@ def load_policy(path: str) -> Policy:
     k, limits = doc.get("k_anonymity") or {}, doc.get("limits") or {}
     if bad := set(limits) - {"limit", "cap", "width"}:
         raise ValueError(f"unknown limits: {sorted(bad)}")
+    if bad := {x for x, v in limits.items() if not isinstance(v, int)}:
+        raise ValueError(f"limits that are no numbers: {sorted(bad)}")
     return Policy(grades, {x.lower(): v for x, v in (doc.get("masks") or {}).items()}, [RowPolicy(**r) for r in doc.get("row_policies") or []], frozenset(k.get("tables") or ()), int(k.get("k") or 0), **limits)
 
 
@@ -284,8 +286,9 @@ class Guard:
             plan = df._jdf.queryExecution().analyzed()
             single = plan.getClass().getSimpleName() == "Aggregate" and plan.groupingExpressions().isEmpty()
             most = plan.limitExpr().toString() if plan.getClass().getSimpleName() == "GlobalLimit" else ""
-            if not single and not (most.isdigit() and int(most) <= self.policy.cap):
-                got = got.limit(self.policy.cap if most else self.policy.limit)
+            bound = self.policy.cap if most else self.policy.limit
+            if not single and bound is not None and not (most.isdigit() and int(most) <= bound):
+                got = got.limit(bound)
                 v.rewrites.append("limit")
             v.result = got
         return v
@@ -317,7 +320,9 @@ def k_anonymous(grouped_counted: DataFrame, k: int, count: str = "cnt") -> DataF
     return grouped_counted.where(F.col(count) >= k)
 
 
-def capped(df: DataFrame, cap: int) -> tuple[list, bool]:
-    """At most cap rows, and whether there were more; never more than one row over the cap is fetched."""
+def capped(df: DataFrame, cap: int | None) -> tuple[list, bool]:
+    """At most cap rows (None: all), and whether there were more; never more than one row over the cap is fetched."""
+    if cap is None:
+        return df.collect(), False
     rows = df.limit(cap + 1).collect()
     return rows[:cap], len(rows) > cap

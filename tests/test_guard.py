@@ -1,7 +1,7 @@
 import pytest
 
 from millrace.operators.governance import guard
-from millrace.plans.guard import split_statements
+from millrace.plans.guard import Policy, split_statements
 from millrace.plans.joins import JoinGraph, nearest
 from millrace.registry import Tables
 
@@ -116,3 +116,20 @@ def test_blocks_are_not_repaired(t):
     done = repair(g, "SELECT s_name FROM supplier WHERE s_acctbal > 0", Catalog(governance.COLUMNS, JoinGraph()))
     assert not done.verdict.allowed and not done.applied
     assert not repair(g, "SELECT n_nam FROM nation", Catalog(governance.COLUMNS, JoinGraph()), budget=0).applied
+
+
+def test_repaired_statements_and_groups_have_all_their_rows(spark, tmp_path):
+    """No limit of the policy cuts their results, however many rows there are."""
+    from millrace.registry import QUERIES
+
+    spark.range(100_003).selectExpr("id AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus", "1.0 AS o_totalprice", "timestamp'1996-01-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(1_200_024).selectExpr("id AS c_custkey", "'x' AS c_name", "id % 100002 AS c_nationkey", "1.0 AS c_acctbal", "'m' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("region", "nation", "supplier", "part", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert QUERIES["repair_unknown_column"](spark, str(tmp_path)).count() == 100_003
+    assert QUERIES["k_anonymity"](spark, str(tmp_path)).count() == 100_002
+
+
+def test_limits_without_number():
+    p = Policy({}, limit=None, cap=None)
+    assert (p.narrowed().limit, p.narrowed(limit=5).limit, p.narrowed(cap=7).cap) == (None, 5, 7)
