@@ -35,7 +35,7 @@ def cut(docs: DataFrame, capacity: int, end_id: int, tokenizer: str = "word_bpe_
     schema = f"{key} {dict(docs.dtypes)[key]}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * ids
 
     def run(batches):
-        for batch in pieces(batches, text, 8 << 20):
+        for batch in pieces(batches, text, 2 << 20):
             got, first = encode(texts(batch, text), tokenizer)
             n = np.diff(first) + 1
             all_ids = np.insert(got, first[1:], end_id).astype("<u4")

@@ -510,3 +510,12 @@ def test_plain_words_have_the_library_s_ids():
     texts = ["It's I'LL don't''S 'Tis ROCK'N'ROLL a1b22,c..d!", "ÀÉÎ õüß ÿÞæ naïve's Ça×÷ Öl-1990 Straße", "x", "", "«à» <|a|> <a|b> ſs 'ſ Ǆ ﬁ é", "ab" * 60 + "é." * 40]
     got, first = token_ids.encode(quality.pa.array(texts, quality.pa.large_string()))
     assert [got[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == tokens(texts)
+
+
+def test_packing_encodes_little_at_once(spark, monkeypatch):
+    """The arrays made of a piece of text are many times its bytes, and two tasks share an executor with the JVM."""
+    sizes = []
+    monkeypatch.setattr(packing, "encode", lambda arr, name: sizes.append(int(quality.pa.compute.sum(quality.pa.compute.binary_length(arr)).as_py())) or (np.zeros(0, np.uint32), np.zeros(len(arr) + 1, np.int64)))
+    monkeypatch.setattr(packing, "map_arrow", lambda df, fn, schema: list(fn([quality.pa.record_batch([quality.pa.array(range(12)), quality.pa.array(["x" * 1_000_000] * 12)], names=["doc_id", "text"])])))
+    packing.cut(spark.createDataFrame([], "doc_id bigint, text string"), 512, 1)
+    assert sum(sizes) == 12_000_000 and max(sizes) <= 3 << 20
