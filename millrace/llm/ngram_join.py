@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, Scratch, buffer_of, fresh, gram_hashes, map_arrow, mix, pieces, table, texts, word_hashes, word_spans
+from .common import LOWER, NOT_SPACE, PIECE, Scratch, buffer_of, fresh, gram_hashes, map_arrow, mix, pieces, table, texts, word_hashes, word_spans
 from .components import components
 
 K = 5
@@ -103,7 +103,7 @@ def _profile(docs: DataFrame) -> DataFrame:
             none = pa.nulls(int(at.sum()), pa.int64())
             return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(none), pa.binary()), pa.array(h[at].view(np.int64)), pa.array(n[at], pa.int64())], names=names)
 
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", PIECE):
             got = sets(texts(batch))
             keys = [np.array([s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)]).tobytes() for s in got]
             none = pa.nulls(len(got), pa.int64())
@@ -125,7 +125,7 @@ def _early(docs: DataFrame, often: np.ndarray, level: np.ndarray) -> DataFrame:
 
     def run(batches):
         often, level = box.value
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(batches, "text", PIECE):
             got, ids = [], batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
             for s in sets(texts(batch)):
                 early, n = s, len(s)
@@ -147,7 +147,7 @@ def _signed(docs: DataFrame) -> DataFrame:
     """id, n, the least shingle and the bitmap of each document with a set."""
 
     def run(batches):
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(batches, "text", PIECE):
             got = [(i, len(s), int(s[:1].view(np.int64)[0]), bitmap(s).tobytes()) for i, s in zip(batch.column(0).to_pylist(), sets(texts(batch)), strict=True) if len(s)]
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "n", "least", "bits"])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import annotate, buffer_of, fresh, table, word_spans
+from .common import PIECE, annotate, buffer_of, fresh, table, word_spans
 
 #: Bounds of the labelled sample: rows of either class, and bytes of a row's text.
 TOXIC, ORDINARY, LONGEST = 2000, 4000, 20_000
@@ -193,7 +193,7 @@ def score(docs: DataFrame, model: Model, into: str = "toxicity", text: str = "te
 
         return run
 
-    return annotate(docs, make, "score double", into, text)
+    return annotate(docs, make, "score double", into, text, PIECE)
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, Scratch, buffer_of, fresh, gram_hashes, map_arrow, pieces, table, texts, word_hashes, word_spans
+from .common import ALNUM, LOWER, PIECE, Scratch, buffer_of, fresh, gram_hashes, map_arrow, pieces, table, texts, word_hashes, word_spans
 
 WINDOW, GRAM = 10, 5
 #: Bytes of the benchmark's fingerprints up to which they are broadcast.
@@ -61,7 +61,7 @@ def test_windows(bench: DataFrame, item: str, text: str) -> DataFrame:
     """n, print, words and item of every window of the benchmark; short items are one window."""
 
     def run(batches):
-        for batch in pieces(batches, "t", 1 << 20):
+        for batch in pieces(batches, "t", PIECE):
             names, w, rows = batch.column(0).to_pylist(), Windows(texts(batch, "t")), []
             for n in set(np.minimum(w.n_words, WINDOW).tolist()) - {0}:
                 at, h = w.prints(n)
@@ -96,7 +96,7 @@ def _met_in_tasks(docs: DataFrame, prints: np.ndarray, sizes: list[int]) -> Data
 
     def run(batches):
         known = box.value
-        for batch in pieces(batches, "t", 4 << 20):
+        for batch in pieces(batches, "t", PIECE):
             w, digests, rows = Windows(texts(batch, "t")), None, []
             for n in sizes:
                 at, h = w.prints(n)
@@ -113,7 +113,7 @@ def _met_by_join(docs: DataFrame, prints: DataFrame, sizes: list[int]) -> DataFr
     """The same by a join of all documents' different fingerprints."""
 
     def sign(batches):
-        for batch in pieces(batches, "t", 2 << 20):
+        for batch in pieces(batches, "t", PIECE):
             w, digests = Windows(texts(batch, "t")), batch.column(batch.schema.get_field_index("d"))
             for n in sizes:
                 at, h = w.prints(n)
@@ -125,7 +125,7 @@ def _met_by_join(docs: DataFrame, prints: DataFrame, sizes: list[int]) -> DataFr
                     yield pa.RecordBatch.from_arrays([digests.take(pa.array(doc[k])), pa.array(np.full(len(k), n), pa.int32()), pa.array(h[k])], names=["d", "n", "print"])
 
     def extend(batches):
-        for batch in pieces(batches, "t", 1 << 20):
+        for batch in pieces(batches, "t", PIECE):
             w, rows, digests = Windows(texts(batch, "t")), [], batch.column(batch.schema.get_field_index("d")).to_pylist()
             known = [set(zip(x["n"], x["print"], strict=True)) for x in ({"n": [y["n"] for y in got], "print": [y["print"] for y in got]} for got in batch.column(batch.schema.get_field_index("hits")).to_pylist())]
             for n in sizes:

@@ -519,3 +519,45 @@ def test_packing_encodes_little_at_once(spark, monkeypatch):
     monkeypatch.setattr(packing, "map_arrow", lambda df, fn, schema: list(fn([quality.pa.record_batch([quality.pa.array(range(12)), quality.pa.array(["x" * 1_000_000] * 12)], names=["doc_id", "text"])])))
     packing.cut(spark.createDataFrame([], "doc_id bigint, text string"), 512, 1)
     assert sum(sizes) == 12_000_000 and max(sizes) <= 3 << 20
+
+
+def test_pipeline_works_on_little_text_at_once(spark, monkeypatch):
+    """A piece's arrays are up to eighty times its bytes, and two tasks share an executor with the JVM."""
+    from millrace.llm import common
+
+    pa, sizes, real = quality.pa, [], common.texts
+    batch = pa.record_batch([pa.array(range(12)), pa.array(["x" * 400_000] * 12), pa.array(["x" * 400_000] * 12), pa.array(["+en"] * 12), pa.array([b"d"] * 12)], names=["id", "text", "t", "l", "d"])
+
+    def noted(b, column="text"):
+        sizes.append(int(pa.compute.sum(pa.compute.binary_length(real(b, column))).as_py()))
+        return real(b, column)
+
+    def mapped(df, fn, schema):
+        list(fn([batch.select(["id", "text"]) if "text" in df.columns else batch]))
+        return spark.createDataFrame([], schema)
+
+    for module in (common, ngram_join, winnow, quality):
+        monkeypatch.setattr(module, "texts", noted)
+        monkeypatch.setattr(module, "map_arrow", mapped)
+    docs = spark.createDataFrame([], "id bigint, text string, lang string")
+    ngram_join._profile(docs)
+    ngram_join._early(docs, np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+    ngram_join._signed(docs)
+    winnow._met_in_tasks(docs.withColumnRenamed("text", "t"), np.zeros(1, np.int64), [10])
+    quality.count_grams(docs)
+    toxicity.score(docs, toxicity.Model())
+    assert sum(sizes) == 6 * 4_800_000 and max(sizes) <= 1_600_000
+
+
+def test_pipeline_gives_python_few_rows_at_once(spark):
+    import corpus_pipeline
+
+    name, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.read.parquet(f"{SF}/documents.parquet")
+    old = spark.conf.get(name)
+    try:
+        for given, want in (("10000", "512"), ("0", "512"), ("100", "100")):
+            spark.conf.set(name, given)
+            corpus_pipeline.STAGES[3][1](spark, docs, SF)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, old)
